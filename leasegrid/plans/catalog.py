@@ -287,3 +287,126 @@ def q_nearest_cluster(spark, sf):
     req = requests_located(spark, sf).filter(F.col("city_slug").isNotNull())
     cents = geo.cluster_centroids(processed_listings(spark, sf))
     return geo.nearest_cluster(req, cents).select("request_id", "city_slug", "cluster_id")
+
+
+# ============================================================== requests
+from ..operators import geocode as gc  # noqa: E402
+from ..operators import requests as rq  # noqa: E402
+
+
+def _pylist(items) -> str:
+    """Python list text, quoted for a SQL string literal."""
+    return ("[" + ", ".join(f"'{x}'" for x in items) + "]").replace("'", "''")
+
+
+SQL_VALIDATED = f"""
+validated AS (
+  SELECT *, CASE WHEN errs = '' THEN NULL ELSE errs END AS error FROM (
+    SELECT request_id, trim(address) AS address, CAST(beds AS BIGINT) AS beds, CAST(baths AS DOUBLE) AS baths,
+           CAST(sqft AS BIGINT) AS sqft,
+           CASE trim(property_type) WHEN 'Multi Family' THEN 'Multi-Family' WHEN 'Multifamily' THEN 'Multi-Family'
+                ELSE trim(property_type) END AS property_type,
+           lower(trim(COALESCE(prediction_mode, 'auto'))) AS prediction_mode,
+           CAST(COALESCE(comps_k, {K.DEFAULT_COMPS_K}) AS INTEGER) AS comps_k,
+           latitude, longitude,
+           concat_ws('; ',
+             CASE WHEN trim(address) = '' THEN 'Address cannot be empty' WHEN length(trim(address)) < 5 THEN 'Address is too short' END,
+             CASE WHEN beds < 0 THEN 'Beds cannot be negative' WHEN beds > 10 THEN 'Beds cannot exceed 10' END,
+             CASE WHEN baths < 0 THEN 'Baths cannot be negative' WHEN baths > 10 THEN 'Baths cannot exceed 10' END,
+             CASE WHEN sqft < 100 THEN 'SqFt must be at least 100' WHEN sqft > 10000 THEN 'SqFt cannot exceed 10,000' END,
+             CASE WHEN (CASE trim(property_type) WHEN 'Multi Family' THEN 'Multi-Family' WHEN 'Multifamily' THEN 'Multi-Family'
+                        ELSE trim(property_type) END) NOT IN ('Apartment', 'Single Family', 'Condo', 'Townhouse', 'Multi-Family')
+                  THEN 'Invalid property_type. Must be one of: {_pylist(K.VALID_PROPERTY_TYPES)}' END,
+             CASE WHEN lower(trim(COALESCE(prediction_mode, 'auto'))) NOT IN ('auto', 'model', 'comps')
+                  THEN 'Invalid prediction_mode. Must be one of: {_pylist(K.VALID_PREDICTION_MODES)}' END,
+             CASE WHEN COALESCE(comps_k, 5) < 3 OR COALESCE(comps_k, 5) > 10 THEN 'comps_k must be between 3 and 10' END
+           ) AS errs
+    FROM raw_requests) v)"""
+
+
+@register("validate_requests", with_views("raw_requests") + "," + SQL_VALIDATED + """
+SELECT request_id, address, beds, baths, sqft, property_type, prediction_mode, comps_k, error FROM validated""")
+def q_validate_requests(spark, sf):
+    """Request validation with the reference's messages, joined by '; '."""
+    v = rq.validate_requests(td.raw_requests(spark, sf))
+    return v.select("request_id", "address", "beds", "baths", "sqft", "property_type", "prediction_mode", "comps_k", "error")
+
+
+# Comps-first and pooled markets among the stand-in markets (the reference's own
+# market names do not occur in the test tables).
+TEST_COMPS_FIRST = ("m12",)
+TEST_POOLED = ("m11", "m12")
+
+
+def comps_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Valid requests with coordinates, their market, cluster and mode columns."""
+    v = rq.validate_requests(td.raw_requests(spark, sf)).filter(F.col("error").isNull() & F.col("latitude").isNotNull())
+    located = geo.detect_market(v, td.markets(spark, sf)).filter(F.col("city_slug").isNotNull())
+    cents = geo.cluster_centroids(processed_listings(spark, sf))
+    withc = geo.nearest_cluster(located, cents)
+    return rq.resolve_mode(withc, TEST_COMPS_FIRST, TEST_POOLED)
+
+
+def comps_pool(spark: SparkSession, sf: str) -> DataFrame:
+    return processed_listings(spark, sf).withColumn(
+        "neighborhood", F.concat(F.lit("Neighborhood "), (F.col("cluster_id") + 1).cast("string")))
+
+
+SQL_COMPS = with_processed("markets", "raw_requests") + "," + SQL_CENTROIDS + "," + SQL_VALIDATED + f""",
+vloc AS (SELECT * FROM validated WHERE error IS NULL AND latitude IS NOT NULL),
+located2 AS (
+  SELECT request_id, city_slug FROM (
+    SELECT q.request_id, m.city_slug,
+           row_number() OVER (PARTITION BY q.request_id ORDER BY {haversine_sql('q.latitude', 'q.longitude', 'm.center_lat', 'm.center_lon')}, m.market_ord) AS rn
+    FROM vloc q JOIN markets m ON {haversine_sql('q.latitude', 'q.longitude', 'm.center_lat', 'm.center_lon')} < m.radius_miles) t
+  WHERE rn = 1),
+reqc AS (
+  SELECT request_id, city_slug, COALESCE(cid, 0) AS cluster_id FROM (
+    SELECT l.request_id, l.city_slug, c.cluster_id AS cid,
+           row_number() OVER (PARTITION BY l.request_id ORDER BY (q.latitude - c.latitude) * (q.latitude - c.latitude)
+                              + (q.longitude - c.longitude) * (q.longitude - c.longitude), c.cluster_id) AS rn
+    FROM located2 l JOIN vloc q USING (request_id) LEFT JOIN centroids c ON c.city_slug = l.city_slug) t WHERE rn = 1),
+req AS (
+  SELECT v.request_id, r.city_slug, r.cluster_id AS q_cluster, v.comps_k AS k, v.beds AS q_beds, v.baths AS q_baths,
+         v.sqft AS q_sqft, v.latitude AS q_lat, v.longitude AS q_lon,
+         CASE WHEN v.prediction_mode = 'comps'
+                   OR (v.prediction_mode = 'auto' AND v.property_type = 'Single Family' AND r.city_slug IN ('{"', '".join(TEST_COMPS_FIRST)}'))
+              THEN lower(trim(v.property_type)) END AS tf
+  FROM vloc v JOIN reqc r USING (request_id)),
+pool AS (SELECT *, 'Neighborhood ' || CAST(cluster_id + 1 AS VARCHAR) AS neighborhood FROM imputed
+         WHERE price IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL),
+pairs AS (
+  SELECT r.request_id, r.k, r.q_cluster, p.*, {haversine_sql('r.q_lat', 'r.q_lon', 'p.latitude', 'p.longitude')} AS dist,
+         100.0 * abs(p.beds - r.q_beds) + 50.0 * abs(p.baths - r.q_baths) + abs(p.sqft - r.q_sqft) / 10.0
+           + 10.0 * {haversine_sql('r.q_lat', 'r.q_lon', 'p.latitude', 'p.longitude')} AS score
+  FROM req r JOIN pool p ON p.city_slug = r.city_slug AND (r.tf IS NULL OR lower(p.property_type) = r.tf)),
+cnt AS (SELECT request_id, count_if(cluster_id = q_cluster) AS c FROM pairs GROUP BY request_id),
+elig AS (SELECT pairs.*, CASE WHEN cluster_id = q_cluster THEN 1 ELSE 0 END AS same
+         FROM pairs JOIN cnt USING (request_id) WHERE cnt.c < pairs.k OR pairs.cluster_id = pairs.q_cluster),
+dedup AS (SELECT *, row_number() OVER (PARTITION BY request_id, address ORDER BY same DESC, score, row_id) AS rn_a FROM elig),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY same DESC, score, row_id) AS rank
+           FROM dedup WHERE rn_a = 1),
+comps AS (
+  SELECT request_id, rank, row_id, address, CAST(trunc(price) AS BIGINT) AS price, CAST(trunc(beds) AS BIGINT) AS beds,
+         baths, CAST(trunc(sqft) AS BIGINT) AS sqft, property_type, neighborhood,
+         round_even(dist, 2) AS distance_mi, score AS similarity
+  FROM ranked WHERE rank <= k)"""
+
+
+@register("comps", SQL_COMPS + """
+SELECT request_id, rank, row_id, address, price, beds, baths, sqft, property_type, neighborhood, distance_mi,
+       round(similarity, 6) AS similarity FROM comps""")
+def q_comps(spark, sf):
+    """Exact top-k comparable listings per request (grid rounds, no market-wide pairing)."""
+    out = comps.comparable_listings(comps_requests(spark, sf), comps_pool(spark, sf))
+    return out.withColumn("similarity", r6("similarity"))
+
+
+@register("comps_estimate", SQL_COMPS + """
+SELECT request_id, round(avg(price), 6) AS comps_avg, min(price) AS comps_low, max(price) AS comps_high,
+       count(*) AS comps_count
+FROM comps WHERE price IS NOT NULL GROUP BY request_id""")
+def q_comps_estimate(spark, sf):
+    """Comps average, low, high and count per request."""
+    est = comps.comps_estimate(comps.comparable_listings(comps_requests(spark, sf), comps_pool(spark, sf)))
+    return est.withColumn("comps_avg", r6("comps_avg"))
