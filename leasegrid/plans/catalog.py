@@ -338,20 +338,27 @@ TEST_COMPS_FIRST = ("m12",)
 TEST_POOLED = ("m11", "m12")
 
 
-def comps_requests(spark: SparkSession, sf: str) -> DataFrame:
+def comps_requests(spark: SparkSession, sf: str, processed: DataFrame | None = None) -> DataFrame:
     """Valid requests with coordinates, their market, cluster and mode columns."""
+    processed = processed if processed is not None else processed_listings(spark, sf)
     v = rq.validate_requests(td.raw_requests(spark, sf)).filter(F.col("error").isNull() & F.col("latitude").isNotNull())
     located = geo.detect_market(v, td.markets(spark, sf)).filter(F.col("city_slug").isNotNull())
-    cents = geo.cluster_centroids(processed_listings(spark, sf))
+    cents = geo.cluster_centroids(processed)
     withc = geo.nearest_cluster(located, cents)
     return rq.resolve_mode(withc, TEST_COMPS_FIRST, TEST_POOLED)
 
 
-def comps_pool(spark: SparkSession, sf: str) -> DataFrame:
-    return processed_listings(spark, sf).withColumn(
+def comps_pool(spark: SparkSession, sf: str, processed: DataFrame | None = None) -> DataFrame:
+    processed = processed if processed is not None else processed_listings(spark, sf)
+    return processed.withColumn(
         "neighborhood", F.concat(F.lit("Neighborhood "), (F.col("cluster_id") + 1).cast("string")))
 
 
+def comps_result(spark: SparkSession, sf: str) -> DataFrame:
+    processed = processed_listings(spark, sf).persist()
+    return comps.comparable_listings(comps_requests(spark, sf, processed), comps_pool(spark, sf, processed))
+
+
 SQL_COMPS = with_processed("markets", "raw_requests") + "," + SQL_CENTROIDS + "," + SQL_VALIDATED + f""",
 vloc AS (SELECT * FROM validated WHERE error IS NULL AND latitude IS NOT NULL),
 located2 AS (
@@ -398,8 +405,7 @@ SELECT request_id, rank, row_id, address, price, beds, baths, sqft, property_typ
        round(similarity, 6) AS similarity FROM comps""")
 def q_comps(spark, sf):
     """Exact top-k comparable listings per request (grid rounds, no market-wide pairing)."""
-    out = comps.comparable_listings(comps_requests(spark, sf), comps_pool(spark, sf))
-    return out.withColumn("similarity", r6("similarity"))
+    return comps_result(spark, sf).withColumn("similarity", r6("similarity"))
 
 
 @register("comps_estimate", SQL_COMPS + """
@@ -408,5 +414,5 @@ SELECT request_id, round(avg(price), 6) AS comps_avg, min(price) AS comps_low, m
 FROM comps WHERE price IS NOT NULL GROUP BY request_id""")
 def q_comps_estimate(spark, sf):
     """Comps average, low, high and count per request."""
-    est = comps.comps_estimate(comps.comparable_listings(comps_requests(spark, sf), comps_pool(spark, sf)))
+    est = comps.comps_estimate(comps_result(spark, sf))
     return est.withColumn("comps_avg", r6("comps_avg"))
