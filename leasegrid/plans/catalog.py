@@ -416,3 +416,154 @@ def q_comps_estimate(spark, sf):
     """Comps average, low, high and count per request."""
     est = comps.comps_estimate(comps_result(spark, sf))
     return est.withColumn("comps_avg", r6("comps_avg"))
+
+
+# ============================================================== summaries and splits
+from ..operators import stats as st  # noqa: E402
+
+
+@register("property_types", with_processed() + """
+SELECT DISTINCT city_slug, property_type,
+       COALESCE(CASE property_type WHEN 'Apartment' THEN 0 WHEN 'Condo' THEN 1 WHEN 'Townhouse' THEN 2
+                WHEN 'Single Family' THEN 3 WHEN 'Multi-Family' THEN 4 END, 999) AS type_rank
+FROM imputed WHERE property_type IS NOT NULL""")
+def q_property_types(spark, sf):
+    """Distinct property types per market with display rank."""
+    return st.property_types(processed_listings(spark, sf))
+
+
+@register("price_summary", with_processed() + """
+SELECT city_slug, min(price) AS min_price, max(price) AS max_price, round(avg(price), 6) AS mean_price, count(*) AS n_priced
+FROM imputed WHERE price IS NOT NULL GROUP BY city_slug""")
+def q_price_summary(spark, sf):
+    """Price min, max, mean and count per market."""
+    return st.price_summary(processed_listings(spark, sf)).withColumn("mean_price", r6("mean_price"))
+
+
+MISSING_COLS = ["listing_id", "address2", "price", "beds", "baths", "sqft", "property_type", "listed_date"]
+
+
+@register("missing_share", with_views("listings") + ", w AS (SELECT city_slug, count(*) AS n_rows, "
+          + ", ".join(f"avg(CAST({c} IS NULL AS DOUBLE)) AS {c}" for c in MISSING_COLS)
+          + " FROM listings GROUP BY city_slug)\n"
+          + "\nUNION ALL\n".join(f"SELECT city_slug, n_rows, '{c}' AS column_name, round({c}, 9) AS missing_share FROM w"
+                                 for c in MISSING_COLS))
+def q_missing_share(spark, sf):
+    """Share of missing values per column and market (feature coverage)."""
+    return st.missing_share(listings(spark, sf), MISSING_COLS).withColumn("missing_share", F.round("missing_share", 9))
+
+
+@register("row_loss", with_views("listings") + """
+SELECT city_slug, count(*) AS n_raw,
+       count_if(latitude IS NOT NULL AND longitude IS NOT NULL) AS n_with_coords,
+       count_if(latitude IS NOT NULL AND longitude IS NOT NULL AND (sqft IS NULL OR sqft BETWEEN 200 AND 5000)) AS n_sqft_ok,
+       count_if(latitude IS NOT NULL AND longitude IS NOT NULL AND (sqft IS NULL OR sqft BETWEEN 200 AND 5000)
+                AND price IS NOT NULL) AS n_training,
+       round(100.0 * (count(*) - count_if(latitude IS NOT NULL AND longitude IS NOT NULL
+             AND (sqft IS NULL OR sqft BETWEEN 200 AND 5000) AND price IS NOT NULL)) / count(*), 4) AS pct_lost
+FROM listings GROUP BY city_slug""")
+def q_row_loss(spark, sf):
+    """Rows kept after each cleaning step, per market."""
+    return st.row_loss(listings(spark, sf))
+
+
+@register("cv_folds", with_processed() + """
+SELECT row_id, city_slug, CAST(ntile(5) OVER (PARTITION BY city_slug ORDER BY row_id) - 1 AS INTEGER) AS fold
+FROM imputed WHERE price IS NOT NULL""")
+def q_cv_folds(spark, sf):
+    """Contiguous 5-fold assignment per market (skew-safe ordinal, no per-market task)."""
+    df = processed_listings(spark, sf).filter(F.col("price").isNotNull())
+    return st.contiguous_folds(df).select("row_id", "city_slug", "fold")
+
+
+@register("time_split", with_processed() + """
+, d AS (SELECT row_id, city_slug, row_number() OVER (PARTITION BY city_slug ORDER BY listed_date, row_id) - 1 AS pos,
+               count(*) OVER (PARTITION BY city_slug) AS n
+        FROM imputed WHERE listed_date IS NOT NULL AND price IS NOT NULL)
+SELECT row_id, city_slug, pos, CASE WHEN n < 20 THEN NULL WHEN pos < CAST(floor(n * 0.8) AS BIGINT) THEN 'train'
+       ELSE 'validate' END AS split FROM d""")
+def q_time_split(spark, sf):
+    """Train on the oldest 80 % of each market by listing date, validate on the rest."""
+    df = processed_listings(spark, sf).filter(F.col("price").isNotNull())
+    return st.time_split(df).select("row_id", "city_slug", "pos", "split")
+
+
+# ============================================================== clusters: sizes, names, map
+SQL_NAMES = SQL_CENTROIDS + f""",
+nearest_place AS (
+  SELECT city_slug, cluster_id, place_name FROM (
+    SELECT c.city_slug, c.cluster_id, COALESCE(p.suburb, p.city, 'Unknown') AS place_name,
+           row_number() OVER (PARTITION BY c.city_slug, c.cluster_id
+                              ORDER BY {haversine_sql('c.latitude', 'c.longitude', 'p.latitude', 'p.longitude')}, p.latitude, p.longitude) AS rn
+    FROM centroids c, places p) t WHERE rn = 1),
+named AS (
+  SELECT c.city_slug, c.cluster_id, np.place_name,
+         CASE WHEN abs(c.latitude - m.center_lat) > abs(c.longitude - m.center_lon)
+              THEN CASE WHEN c.latitude - m.center_lat > 0 THEN 'North' ELSE 'South' END
+              ELSE CASE WHEN c.longitude - m.center_lon > 0 THEN 'East' ELSE 'West' END END AS dir,
+         sqrt(pow(c.latitude - m.center_lat, 2) + pow(c.longitude - m.center_lon, 2)) AS dist,
+         m.display_name
+  FROM centroids c JOIN nearest_place np USING (city_slug, cluster_id) JOIN markets m USING (city_slug)),
+named2 AS (
+  SELECT *, CASE WHEN dist > 0.05 THEN 'Far ' || dir ELSE dir END || ' ' || display_name AS fallback,
+         row_number() OVER (PARTITION BY city_slug, place_name ORDER BY cluster_id) AS first_use
+  FROM named),
+named3 AS (
+  SELECT *, row_number() OVER (PARTITION BY city_slug, CASE WHEN first_use = 1 THEN NULL ELSE fallback END,
+                                            first_use = 1 ORDER BY cluster_id) AS fb_n
+  FROM named2),
+names AS (
+  SELECT city_slug, cluster_id,
+         CASE WHEN first_use = 1 AND place_name <> '' THEN place_name
+              WHEN fb_n = 1 THEN fallback ELSE fallback || ' ' || CAST(fb_n AS VARCHAR) END AS name
+  FROM named3)"""
+
+
+def cluster_names(spark: SparkSession, sf: str, processed: DataFrame | None = None) -> DataFrame:
+    processed = processed if processed is not None else processed_listings(spark, sf)
+    cents = geo.cluster_centroids(processed)
+    places = geo.reverse_geocode(cents, td.places(spark, sf), ["city_slug", "cluster_id"])
+    return geo.name_clusters(cents, places, td.markets(spark, sf))
+
+
+@register("cluster_names", with_processed("markets", "places") + "," + SQL_NAMES + """
+SELECT city_slug, cluster_id, name FROM names""")
+def q_cluster_names(spark, sf):
+    """Reverse-geocoded, de-duplicated cluster names (directional fallbacks numbered)."""
+    return cluster_names(spark, sf)
+
+
+@register("cluster_sizes", with_processed("markets", "places") + "," + SQL_NAMES + """
+SELECT n.city_slug, n.cluster_id, n.name, CAST(COALESCE(c.cnt, 0) AS BIGINT) AS listings
+FROM names n LEFT JOIN (SELECT city_slug, cluster_id, count(*) AS cnt FROM imputed
+                         WHERE price IS NOT NULL GROUP BY 1, 2) c USING (city_slug, cluster_id)""")
+def q_cluster_sizes(spark, sf):
+    """Listings per named cluster after dropping unpriced rows; empty clusters show 0."""
+    processed = processed_listings(spark, sf).persist()
+    names = cluster_names(spark, sf, processed)
+    return geo.cluster_sizes(processed.filter(F.col("price").isNotNull()), names)
+
+
+@register("cluster_map", with_processed("markets", "places") + "," + SQL_NAMES + f""",
+cm AS (SELECT c.city_slug, c.cluster_id, n.name, c.count, c.latitude, c.longitude FROM centroids c JOIN names n USING (city_slug, cluster_id))
+SELECT city_slug, cluster_id, name, count, round(latitude, 9) AS latitude, round(longitude, 9) AS longitude,
+       round(longitude * {20037508.34} / 180, 3) AS x,
+       round(ln(tan((90 + latitude) * pi() / 360)) / (pi() / 180) * {20037508.34} / 180, 3) AS y,
+       count >= CASE WHEN (SELECT sum(count) FROM cm) > 100 THEN 5 ELSE 2 END AS labelled
+FROM cm""")
+def q_cluster_map(spark, sf):
+    """Named centroids in Web Mercator with the label threshold (legend data)."""
+    processed = processed_listings(spark, sf).persist()
+    names = cluster_names(spark, sf, processed)
+    cents = geo.cluster_centroids(processed, names)
+    lay = geo.map_layer(cents)
+    return lay.select("city_slug", "cluster_id", "name", "count", r9("latitude"), r9("longitude"),
+                      F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "labelled")
+
+
+@register("map_extent", with_processed() + """
+SELECT round(avg(latitude), 9) AS center_lat, round(avg(longitude), 9) AS center_lon, count(*) AS total_listings FROM imputed""")
+def q_map_extent(spark, sf):
+    """Mean of all coordinates across markets and the total listing count."""
+    e = geo.map_extent(processed_listings(spark, sf))
+    return e.select(F.round("center_lat", 9).alias("center_lat"), F.round("center_lon", 9).alias("center_lon"), "total_listings")
