@@ -567,3 +567,32 @@ def q_map_extent(spark, sf):
     """Mean of all coordinates across markets and the total listing count."""
     e = geo.map_extent(processed_listings(spark, sf))
     return e.select(F.round("center_lat", 9).alias("center_lat"), F.round("center_lon", 9).alias("center_lon"), "total_listings")
+
+
+# ============================================================== ingest
+from ..sources import listings as src  # noqa: E402
+
+
+@register("ingest_pages", with_views("markets") + """
+SELECT 'm' || CAST(o_custkey % 25 AS VARCHAR) AS city_slug, CAST(floor(o_orderkey / 500) + 1 AS INTEGER) AS page,
+       CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CAST(o_orderkey AS VARCHAR) END AS listing_id,
+       CAST(o_custkey % 500 AS VARCHAR) || ' Main St' AS address,
+       CASE WHEN o_orderkey % 4 = 0 THEN 'Apt ' || CAST(o_orderkey % 50 AS VARCHAR)
+            WHEN o_orderkey % 4 = 2 THEN 'Unit ' || CAST(o_orderkey % 50 AS VARCHAR) END AS address2,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'NATION_' || CAST(o_custkey % 25 AS VARCHAR) ELSE m.display_name END AS city,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'MI' ELSE m.state END AS state,
+       CAST(48100 + o_custkey % 100 AS VARCHAR) AS zip,
+       o_orderdate AS listed_date,
+       CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE floor(o_totalprice) / 100.0 END AS price,
+       CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(o_orderkey % 7 AS DOUBLE) END AS beds,
+       CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE 1.0 + 0.5 * CAST(o_orderkey % 5 AS DOUBLE) END AS baths,
+       CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(150 + (o_orderkey * 37) % 5200 AS DOUBLE) END AS sqft,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'Parking, Laundry' END AS amenities_text
+FROM orders JOIN markets m ON m.city_slug = 'm' || CAST(o_custkey % 25 AS VARCHAR)""")
+def q_ingest_pages(spark, sf):
+    """Landed pages -> items -> flat listing rows (alternate field names, market
+    defaults, missing markers, lenient numbers, joined features)."""
+    pages = src.within_page_limit(td.landed_pages(spark, sf), max_pages=10**9)
+    flat = src.flatten_items(src.parse_pages(pages), td.markets(spark, sf))
+    return flat.select("city_slug", "page", "listing_id", "address", "address2", "city", "state", "zip",
+                       "listed_date", "price", "beds", "baths", "sqft", "amenities_text")

@@ -164,3 +164,44 @@ def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(no_coords, F.lit(None)).otherwise(_coord(n, 7919, 42)).alias("latitude"),
         F.when(no_coords, F.lit(None)).otherwise(_coord(n, 104729, -84)).alias("longitude"),
     )
+
+
+def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """API-shaped pages from ``orders``: items use the feed's field names and
+    alternates; even pages are ``{"listings": [...]}``, odd pages bare arrays.
+
+    A page holds the items of one market and one block of 500 order keys, so
+    pages stay bounded in size.
+    """
+    o = read_table(spark, sf_dir, "orders")
+    k, ck = F.col("o_orderkey"), F.col("o_custkey")
+    no_id = _mod(k, 17) == 0
+    item = F.struct(
+        F.when(~no_id & (_mod(k, 3) == 0), k.cast("string")).alias("id"),
+        F.when(~no_id & (_mod(k, 3) == 1), k.cast("string")).alias("listingId"),
+        F.when(~no_id & (_mod(k, 3) == 2), k.cast("string")).alias("listing_id"),
+        F.concat(_mod(ck, 500).cast("string"), F.lit(" Main St")).alias("addressLine1"),
+        F.when(_mod(k, 4) == 0, F.concat(F.lit("Apt "), _mod(k, 50).cast("string"))).alias("addressLine2"),
+        F.when(_mod(k, 4) == 2, F.concat(F.lit("Unit "), _mod(k, 50).cast("string"))).alias("unit"),
+        F.when(_mod(k, 2) == 0, F.concat(F.lit("NATION_"), _mod(ck, 25).cast("string"))).alias("city"),
+        F.when(_mod(k, 2) == 0, F.lit("MI")).alias("state"),
+        F.when(_mod(k, 3) == 0, (F.lit(48100) + _mod(ck, 100)).cast("string")).alias("zipCode"),
+        F.when(_mod(k, 3) != 0, (F.lit(48100) + _mod(ck, 100)).cast("string")).alias("postalCode"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("listedDate"),
+        F.when(_mod(k, 23) == 0, F.lit("N/A")).otherwise((F.floor(F.col("o_totalprice")) / F.lit(100.0)).cast("string")).alias("price"),
+        F.when(_mod(k, 11) != 0, _mod(k, 7)).alias("bedrooms"),
+        F.when(_mod(k, 13) != 0, F.lit(1.0) + F.lit(0.5) * _mod(k, 5).cast("double")).alias("bathrooms"),
+        F.when(_mod(k, 5) != 0, F.lit(150) + _mod(k * F.lit(37), 5200)).alias("squareFootage"),
+        _coord(k, 7919, 42).alias("latitude"),
+        _coord(k, 104729, -84).alias("longitude"),
+        _raw_type(F.col("o_orderpriority"), k).alias("propertyType"),
+        F.when(_mod(k, 3) == 0, F.array(F.lit("Parking"), F.lit("Laundry"))).alias("features"),
+    )
+    rows = o.select(F.concat(F.lit("m"), _mod(ck, 25).cast("string")).alias("city_slug"),
+                    (F.floor(k / 500) + 1).cast("int").alias("page"), k.alias("_k"), item.alias("item"))
+    pages = rows.groupBy("city_slug", "page").agg(F.sort_array(F.collect_list(F.struct("_k", "item"))).alias("_items"))
+    items = F.transform("_items", lambda x: x["item"])
+    return pages.select(
+        "city_slug", "page",
+        F.when(F.col("page") % 2 == 0, F.to_json(F.struct(items.alias("listings")))).otherwise(F.to_json(items)).alias("page_json"),
+    )
