@@ -156,7 +156,7 @@ def name_clusters(centroids: DataFrame, place_names: DataFrame, markets: DataFra
         real_ok = e["place_name"].isNotNull() & (e["place_name"] != "") & ~F.array_contains(used, e["place_name"])
         free = F.filter(F.sequence(F.lit(2), F.size(used) + 2),
                         lambda i: ~F.array_contains(used, F.concat(e["fallback"], F.lit(" "), i.cast("string"))))
-        numbered = F.concat(e["fallback"], F.lit(" "), F.element_at(free, 1).cast("string"))
+        numbered = F.concat(e["fallback"], F.lit(" "), F.try_element_at(free, F.lit(1)).cast("string"))
         fb = F.when(F.array_contains(used, e["fallback"]), numbered).otherwise(e["fallback"])
         chosen = F.when(real_ok, e["place_name"]).otherwise(fb)
         return F.struct(
