@@ -1,0 +1,74 @@
+"""Cleaning, medians, imputation and IQR on the literal rows of FIXTURES.md."""
+
+from pyspark.sql import functions as F
+
+from leasegrid.operators import clean
+
+SCHEMA = "row_id long, city_slug string, price double, beds double, baths double, sqft double, property_type string"
+
+
+def test_impossible_sqft_keeps_missing(spark):
+    df = spark.createDataFrame([(i, "a", 1.0, 1.0, 1.0, s, "Condo") for i, s in enumerate([None, 155.0, 200.0, 5000.0, 5850.0])], SCHEMA)
+    kept = sorted(r.row_id for r in clean.filter_impossible_sqft(df).collect())
+    assert kept == [0, 2, 3]
+
+
+def test_medians_truncate_and_default(spark):
+    rows = [(0, "a", 1.0, 1.0, 1.0, 500.0, "Condo"), (1, "a", 1.0, 1.0, 1.0, 601.0, "Condo"),
+            (2, "a", 1.0, 2.0, 1.0, 900.0, "Condo")]
+    med = {(r.city_slug, r.beds): r.sqft_median for r in clean.bed_sqft_medians(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert med[("a", 1)] == 550  # 550.5 truncated
+    assert med[("a", 2)] == 900 and med[("a", 0)] == 870 and med[("a", 5)] == 870 and len(med) == 6
+
+
+def test_impute_order_and_defaults(spark):
+    rows = [
+        (1, "a", 1.0, None, None, 449.0, "Apartment"), (2, "a", 1.0, None, None, 450.0, "Apartment"),
+        (3, "a", 1.0, None, None, 749.0, "Apartment"), (4, "a", 1.0, None, None, 750.0, "Apartment"),
+        (5, "a", 1.0, None, None, 1099.0, "Apartment"), (6, "a", 1.0, None, None, 1100.0, "Apartment"),
+        (7, "a", 1.0, None, None, 1499.0, "Apartment"), (8, "a", 1.0, None, None, 1500.0, "Apartment"),
+        (9, "a", 1.0, 6.0, None, None, "Apartment"),
+        (10, "a", 1.0, None, None, None, "Single Family"), (11, "a", 1.0, None, None, None, "Townhouse"),
+        (12, "a", 1.0, None, None, None, "Loft"), (13, "a", 1.0, 2.5, 1.0, None, "Condo"),
+    ]
+    out = {r.row_id: (r.beds, r.baths, r.sqft) for r in clean.impute_listings(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [out[i][0] for i in range(1, 9)] == [0, 1, 1, 2, 2, 3, 3, 4]
+    assert out[8][1] == 2.0 and out[7][1] == 1.0
+    assert out[9] == (6.0, 2.0, 1700.0)  # beds > 5 -> default median of 5
+    assert out[10] == (3.0, 1.5, 870.0)  # SqFt filled before beds (D4)
+    assert out[11] == (2.0, 1.5, 870.0) and out[12] == (2.0, 1.0, 870.0)
+    assert out[13][2] == 870.0  # 2.5 beds matches no median key
+
+
+def test_impute_leaves_no_null_and_keeps_values(spark):
+    rows = [(i, "a", 1.0, b, ba, s, t) for i, (b, ba, s, t) in enumerate(
+        [(None, None, None, None), (1.0, None, 600.0, "Condo"), (None, 2.0, None, "Apartment"), (3.0, 1.5, 1200.0, "X")])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = clean.impute_listings(df, clean.bed_sqft_medians(df)).collect()
+    assert all(r.beds is not None and r.baths is not None and r.sqft is not None for r in out)
+    r3 = [r for r in out if r.row_id == 3][0]
+    assert (r3.beds, r3.baths, r3.sqft) == (3.0, 1.5, 1200.0)
+
+
+def test_iqr_interpolates(spark):
+    df = spark.createDataFrame([(i, "a", p, 1.0, 1.0, 500.0, "Condo") for i, p in enumerate([1.0, 2.0, 3.0, 10.0, None])], SCHEMA)
+    b = clean.price_iqr_bounds(df).first()
+    assert b.q1 == 1.75 and b.q3 == 4.75
+    kept = clean.remove_price_outliers(df, clean.price_iqr_bounds(df)).count()
+    assert kept == 3  # upper bound 4.75 + 1.5*3 = 9.25 drops 10.0; the missing price goes too
+
+
+def test_dedupe_key_and_append(spark):
+    cols = "row_id long, listing_id string, address string, address2 string, city string, state string, zip string"
+    ex = spark.createDataFrame([(1, " ABC ", "1 Main", None, "X", "MI", "1"), (2, None, "2 Main", None, "X", "MI", "1")], cols)
+    inc = spark.createDataFrame([(3, "abc", "9 Elm", None, "X", "MI", "1"), (4, "", " 2 main ", "", "x", "mi", "1"),
+                                 (5, None, "3 Main", None, "X", "MI", "1"), (6, None, "3 Main", None, "X", "MI", "1")], cols)
+    keys = [r[0] for r in ex.select(clean.dedupe_key(ex)).collect()]
+    assert keys == ["id:abc", "addr:2 main||x|mi|1"]
+    out = clean.append_new_listings(ex, inc)
+    assert sorted(r.row_id for r in out.collect()) == [1, 2, 5, 6]
+    out2 = clean.append_new_listings(ex, inc, dedupe_within_batch=True)
+    assert sorted(r.row_id for r in out2.collect()) == [1, 2, 5]
+    # idempotent: appending the same batch again adds nothing new
+    again = clean.append_new_listings(out2, inc, dedupe_within_batch=True)
+    assert again.count() == out2.count()
