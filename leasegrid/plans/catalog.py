@@ -677,3 +677,30 @@ def q_address_variants(spark, sf):
     """Ordered address spellings tried per request."""
     req = td.raw_requests(spark, sf)
     return gc.with_address_variants(req).select("request_id", F.posexplode("variants").alias("pos", "variant"))
+
+
+@register("comps_cv_metrics", with_processed() + f""",
+pool AS (SELECT *, 'Neighborhood ' || CAST(cluster_id + 1 AS VARCHAR) AS neighborhood,
+                CAST(ntile(5) OVER (PARTITION BY city_slug ORDER BY row_id) - 1 AS INTEGER) AS fold
+         FROM imputed WHERE price IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL),
+pairs AS (
+  SELECT q.row_id AS request_id, q.city_slug, q.price AS q_price, q.cluster_id AS q_cluster, p.row_id, p.address, p.price,
+         p.cluster_id,
+         100.0 * abs(p.beds - q.beds) + 50.0 * abs(p.baths - q.baths) + abs(p.sqft - q.sqft) / 10.0
+           + 10.0 * {haversine_sql('q.latitude', 'q.longitude', 'p.latitude', 'p.longitude')} AS score
+  FROM pool q JOIN pool p ON p.city_slug = q.city_slug AND p.fold <> q.fold),
+cnt AS (SELECT request_id, count_if(cluster_id = q_cluster) AS c FROM pairs GROUP BY request_id),
+elig AS (SELECT pairs.*, CASE WHEN cluster_id = q_cluster THEN 1 ELSE 0 END AS same
+         FROM pairs JOIN cnt USING (request_id) WHERE cnt.c < 5 OR pairs.cluster_id = pairs.q_cluster),
+dedup AS (SELECT *, row_number() OVER (PARTITION BY request_id, address ORDER BY same DESC, score, row_id) AS rn_a FROM elig),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY same DESC, score, row_id) AS rnk
+           FROM dedup WHERE rn_a = 1),
+est AS (SELECT request_id, city_slug, any_value(q_price) AS price, avg(CAST(trunc(price) AS BIGINT)) AS comps_avg
+        FROM ranked WHERE rnk <= 5 GROUP BY request_id, city_slug)
+SELECT city_slug, round(sqrt(avg((comps_avg - price) * (comps_avg - price))), 6) AS rmse, count(*) AS n_predictions,
+       5 AS k, false AS property_type_filter, 1 AS min_comps
+FROM est GROUP BY city_slug""")
+def q_comps_cv_metrics(spark, sf):
+    """Comps-average RMSE per market: each listing priced by its 5 comps from the other folds."""
+    m = comps.comps_cv_metrics(comps_pool(spark, sf))
+    return m.withColumn("rmse", r6("rmse"))
