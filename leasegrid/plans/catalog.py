@@ -640,7 +640,8 @@ def q_model_bakeoff(spark, sf):
     train, test = df.filter(~test_mask), df.filter(test_mask)
     results = []
     for name, factory, kw, oh in (("linear", mlp.linear, {}, True), ("random_forest", mlp.random_forest, {}, False),
-                                  ("gbt", mlp.gbt, {"max_iter": QUERY_GBT_ROUNDS}, False)):
+                                  ("gbt", mlp.gbt, {"max_iter": QUERY_GBT_ROUNDS}, False),
+                                  ("gbt_onehot", mlp.gbt, {"max_iter": QUERY_GBT_ROUNDS}, True)):
         model = mlp.fit_price_model(train, factory, one_hot=oh, **kw)
         m = mlp.regression_metrics(mlp.predict_price(model, test), "price", "predicted_price", keys=[])
         results.append(m.withColumn("model", F.lit(name)))
