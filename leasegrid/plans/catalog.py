@@ -6,6 +6,7 @@ Every job reads whole tables; no sampling, id subsets or row caps.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.geo import haversine_sql
 from ..operators import clean, comps, geo, rents
+from ..session import prepare_session
 from ..sources import testdata as td
 from .oracle_views import normalize_type_sql, with_views
 
@@ -32,7 +34,12 @@ REGISTRY: dict[str, Query] = {}
 
 def register(name: str, sql: str | None, doc: str = ""):
     def deco(fn):
-        REGISTRY[name] = Query(name, fn, sql, doc or (fn.__doc__ or "").strip())
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            prepare_session(spark)
+            return fn(spark, sf)
+
+        REGISTRY[name] = Query(name, run, sql, doc or (fn.__doc__ or "").strip())
         return fn
     return deco
 

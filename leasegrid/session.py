@@ -50,3 +50,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="leasegrid-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return conf_dir
+
+
+def prepare_session(spark: SparkSession) -> None:
+    """What every job expects of a session it is handed: a checkpoint folder for
+    lineage cuts (the cluster's shared one when configured) and UTC session time,
+    under which listing dates are interpreted."""
+    ensure_checkpoint_dir(spark)
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
