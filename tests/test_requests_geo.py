@@ -94,3 +94,19 @@ def test_contiguous_folds_sizes(spark):
     assert a == [0, 0, 1, 1, 2, 3, 4]
     b = [r.fold for r in sorted((r for r in f if r.city_slug == "b"), key=lambda r: r.row_id)]
     assert b == [0, 1, 2]
+
+
+def test_folds_exact_with_a_hot_market(spark):
+    # one market holds a third of the rows; it spans several range partitions
+    rows = [("hot", i) for i in range(3000)] + [(f"m{i % 40}", 10_000 + i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "city_slug string, row_id long")
+    got = {(r.city_slug, r.row_id): r.fold for r in contiguous_folds(df).collect()}
+    by = {}
+    for c, r in rows:
+        by.setdefault(c, []).append(r)
+    for c, ids in by.items():
+        n = len(ids)
+        q, rem = divmod(n, 5)
+        sizes = [q + 1] * rem + [q] * (5 - rem)
+        expect = [f for f, s in enumerate(sizes) for _ in range(s)]
+        assert [got[(c, r)] for r in sorted(ids)] == expect, c
