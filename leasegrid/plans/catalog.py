@@ -787,3 +787,48 @@ REGISTRY["address_variants"] = Query("address_variants", REGISTRY["address_varia
                                      REGISTRY["address_variants"].doc)
 REGISTRY["geocode_requests"] = Query("geocode_requests", REGISTRY["geocode_requests"].run, _geocode_sql(),
                                      REGISTRY["geocode_requests"].doc)
+
+
+def _lloyd_sql(iters: int) -> str:
+    ctes = [f"""
+pts AS (SELECT city_slug, row_id, latitude, longitude FROM listings WHERE latitude IS NOT NULL AND longitude IS NOT NULL),
+sizes AS (SELECT p.city_slug, count(*) AS n, m.n_clusters AS hint FROM pts p JOIN markets m USING (city_slug)
+          GROUP BY p.city_slug, m.n_clusters),
+kt AS (SELECT city_slug, n, CASE WHEN n < 6 THEN 0 ELSE least(hint, n) END AS k FROM sizes),
+seeds AS (SELECT kt.city_slug, CAST(i AS INTEGER) AS cluster_id, CAST(floor((2 * i + 1) * kt.n / (2 * kt.k)) AS BIGINT) AS pos
+          FROM kt, (SELECT unnest(range(0, 64)) AS i) r WHERE i < kt.k),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY city_slug ORDER BY latitude, longitude, row_id) - 1 AS pos FROM pts),
+c0 AS (SELECT s.city_slug, s.cluster_id, o.latitude, o.longitude FROM seeds s JOIN ordered o USING (city_slug, pos))"""]
+    for i in range(1, iters + 1):
+        ctes.append(f"""
+a{i} AS (SELECT city_slug, row_id, latitude, longitude, cluster_id FROM (
+    SELECT p.*, c.cluster_id, row_number() OVER (PARTITION BY p.city_slug, p.row_id
+        ORDER BY (p.latitude - c.latitude) * (p.latitude - c.latitude) + (p.longitude - c.longitude) * (p.longitude - c.longitude),
+                 c.cluster_id) AS rn
+    FROM pts p JOIN c{i - 1} c USING (city_slug)) t WHERE rn = 1),
+c{i} AS (SELECT c.city_slug, c.cluster_id, COALESCE(u.lat, c.latitude) AS latitude, COALESCE(u.lon, c.longitude) AS longitude
+         FROM c{i - 1} c LEFT JOIN (SELECT city_slug, cluster_id, avg(latitude) AS lat, avg(longitude) AS lon FROM a{i}
+                                    GROUP BY 1, 2) u USING (city_slug, cluster_id))""")
+    ctes.append(f"""
+fin AS (SELECT city_slug, cluster_id, count(*) AS n FROM (
+    SELECT p.city_slug, c.cluster_id, row_number() OVER (PARTITION BY p.city_slug, p.row_id
+        ORDER BY (p.latitude - c.latitude) * (p.latitude - c.latitude) + (p.longitude - c.longitude) * (p.longitude - c.longitude),
+                 c.cluster_id) AS rn
+    FROM pts p JOIN c{iters} c USING (city_slug)) t WHERE rn = 1 GROUP BY 1, 2)""")
+    return with_views("listings", "markets") + "," + ",".join(x.strip() for x in ctes) + f"""
+SELECT c.city_slug, c.cluster_id, round(c.latitude, 9) AS latitude, round(c.longitude, 9) AS longitude,
+       COALESCE(f.n, 0) AS listings
+FROM c{iters} c LEFT JOIN fin f USING (city_slug, cluster_id)"""
+
+
+@register("kmeans_fixed", _lloyd_sql(QUERY_LLOYD_ITER))
+def q_kmeans_fixed(spark, sf):
+    """Lloyd k-means per market with the configured k (all markets in the same
+    jobs): centroids and cluster sizes after a fixed number of iterations."""
+    pts = listings(spark, sf).filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()) \
+        .select("city_slug", "row_id", "latitude", "longitude")
+    kt = km.k_bounds(pts, td.markets(spark, sf)).select("city_slug", F.col("fixed_k").alias("k"))
+    cents = km.lloyd(pts, kt, max_iter=QUERY_LLOYD_ITER, tol=-1.0)
+    sizes = geo.nearest_cluster(pts, cents).groupBy("city_slug", "cluster_id").agg(F.count(F.lit(1)).alias("_n"))
+    return cents.join(sizes, ["city_slug", "cluster_id"], "left").select(
+        "city_slug", "cluster_id", r9("latitude"), r9("longitude"), F.coalesce("_n", F.lit(0)).alias("listings"))
