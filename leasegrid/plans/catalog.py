@@ -832,3 +832,36 @@ def q_kmeans_fixed(spark, sf):
     sizes = geo.nearest_cluster(pts, cents).groupBy("city_slug", "cluster_id").agg(F.count(F.lit(1)).alias("_n"))
     return cents.join(sizes, ["city_slug", "cluster_id"], "left").select(
         "city_slug", "cluster_id", r9("latitude"), r9("longitude"), F.coalesce("_n", F.lit(0)).alias("listings"))
+
+
+def _silhouette_sql(iters: int) -> str:
+    base = _lloyd_sql(iters)
+    head = base[: base.rindex("\nSELECT c.city_slug")]
+    return head + f""",
+asg AS (SELECT city_slug, row_id, latitude, longitude, cluster_id FROM (
+    SELECT p.*, c.cluster_id, row_number() OVER (PARTITION BY p.city_slug, p.row_id
+        ORDER BY (p.latitude - c.latitude) * (p.latitude - c.latitude) + (p.longitude - c.longitude) * (p.longitude - c.longitude),
+                 c.cluster_id) AS rn
+    FROM pts p JOIN c{iters} c USING (city_slug)) t WHERE rn = 1),
+csize AS (SELECT city_slug, cluster_id, count(*) AS n FROM asg GROUP BY 1, 2),
+pairs AS (SELECT i.city_slug, i.row_id, i.cluster_id AS ci, j.cluster_id AS cj,
+                 sum((i.latitude - j.latitude) * (i.latitude - j.latitude) + (i.longitude - j.longitude) * (i.longitude - j.longitude)) AS d
+          FROM asg i JOIN asg j ON i.city_slug = j.city_slug GROUP BY 1, 2, 3, 4),
+per AS (SELECT p.city_slug, p.row_id,
+               max(CASE WHEN p.ci = p.cj AND s.n > 1 THEN p.d / (s.n - 1) END) AS a,
+               min(CASE WHEN p.ci <> p.cj THEN p.d / s.n END) AS b
+        FROM pairs p JOIN csize s ON s.city_slug = p.city_slug AND s.cluster_id = p.cj GROUP BY 1, 2)
+SELECT city_slug, round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b)
+                                 ELSE 0.0 END), 6) AS silhouette
+FROM per GROUP BY city_slug"""
+
+
+@register("kmeans_silhouette", _silhouette_sql(QUERY_LLOYD_ITER))
+def q_kmeans_silhouette(spark, sf):
+    """Mean silhouette per market of the fixed-k clustering, from cluster sums
+    (linear; the oracle computes it from all pairs)."""
+    pts = listings(spark, sf).filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()) \
+        .select("city_slug", "row_id", "latitude", "longitude")
+    kt = km.k_bounds(pts, td.markets(spark, sf)).select("city_slug", F.col("fixed_k").alias("k"))
+    cents = km.lloyd(pts, kt, max_iter=QUERY_LLOYD_ITER, tol=-1.0)
+    return km.silhouette(pts, cents).withColumn("silhouette", F.round("silhouette", 6))
