@@ -607,7 +607,7 @@ def q_ingest_pages(spark, sf):
 
 # ============================================================== ML and end-to-end (rows-only checks)
 from ..ml import kmeans as km  # noqa: E402
-from ..ml import pipeline as mlp  # noqa: E402
+from ..ml import models as mlp  # noqa: E402
 from . import jobs  # noqa: E402
 
 # Boosting rounds for the registered checks; the library default is the
