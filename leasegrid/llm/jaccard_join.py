@@ -8,8 +8,8 @@ their distinct word n-grams, exactly and over all documents:
 2. Each document gives its set size, a digest of the whole set, a bitmap signature and its prefix:
    the rarest ``n - ceil(t n) + 1`` n-grams, of which two linked sets always share one.
    Documents with equal sets are one representative from here on.
-3. Every representative is verified exactly against one leader with which it shares prefix n-grams
-   most often. The linked ones form a ball around the leader with their distances kept.
+3. Every representative meets one leader, with which it shares prefix n-grams most often: sizes and
+   bit counts bound their overlap from above, and what is left is intersected exactly. The linked ones form a ball around the leader with their distances kept.
 4. Leaders that share a prefix n-gram meet in tiles: the entries of an n-gram are cut into tiles of
    bounded size, sorted by set size so that only a band of sizes is compared, and bit counts of the
    signatures bound the overlap from above. Jaccard distance is a metric, so two balls
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash as wh
 from .components import components
-from .shared import row_blocks, stored, text_bytes
+from .shared import row_blocks, small, stored, text_bytes
 
 SKETCH_BITS = 20
 #: entries of one n-gram compared in one task
@@ -154,7 +154,7 @@ def _sets(docs: DataFrame, n: int, wanted: DataFrame, id_col: str, text_col: str
                                              names=["rep", "n", "arr"])
 
     text = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    return text.join(wanted, "rep", "left_semi").select("rep", "text").mapInArrow(arrays, "rep long, n long, arr binary")
+    return text.join(small(wanted), "rep", "left_semi").select("rep", "text").mapInArrow(arrays, "rep long, n long, arr binary")
 
 
 def _intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -173,12 +173,32 @@ def _intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(count, "a long, b long, na long, nb long, both long")
 
 
+def _plausible(pairs: DataFrame, reps: DataFrame, limit: float) -> DataFrame:
+    """The pairs (a, b) whose sizes and signatures leave room for a distance of ``limit``."""
+    side = reps.select("rep", "n", "bits")
+    joined = (pairs.join(side.toDF("a", "na", "bits_a"), "a").join(side.toDF("b", "nb", "bits_b"), "b")
+              .where(F.least("na", "nb") >= (1 - limit) * F.greatest("na", "nb") - 1e-9)
+              .select("a", "b", "na", "nb", "bits_a", "bits_b"))
+
+    def bound(batches):
+        for t in batches:
+            keep = np.zeros(t.num_rows, bool)
+            total = t.column(2).to_numpy() + t.column(3).to_numpy()
+            for k, (x, y) in enumerate(zip(t.column(4), t.column(5), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                w = min(len(x), len(y))
+                apart = int(np.bitwise_count(fold(x[None, :], w) ^ fold(y[None, :], w)).sum())
+                keep[k] = apart <= limit / (2 - limit) * total[k] + 1e-6
+            yield t.select(["a", "b"]).filter(pa.array(keep))
+
+    return joined.mapInArrow(bound, "a long, b long").distinct()
+
+
 def _tile_pairs(entries: DataFrame, limit: float) -> DataFrame:
     """(a, b): pairs of different labels that share an n-gram and whose signatures leave room for a
-    Jaccard distance of limit + ra + rb. Entries are (token, label, n, r, bits)."""
-    stats = entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    Jaccard distance of limit + ra + rb. Entries are (token, c, label, n, r, bits), c an n-gram's labels."""
     tiles = F.expr(f"cast(ceil(c / {TILE}) as int)")
-    e = (entries.join(stats, "token").withColumn("k", tiles)
+    e = (entries.withColumn("k", tiles)
          .withColumn("own", F.expr("cast(pmod(xxhash64(label), k) as int)"))
          .withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
          .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
@@ -259,29 +279,32 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     tokens = reps.select("rep", F.explode("prefix").alias("token"))
     heads = tokens.groupBy("token").agg(F.min("rep").alias("lead"), F.max("rep").alias("top")).where("lead < top").drop("top")
     shared = stored(tokens.join(heads, "token"), "shared")
-    sets = stored(_sets(docs, n, shared.select("rep").distinct(), id_col, text_col), "sets")
-
     # one leader for each representative, and its exact distance
     votes = shared.where("rep <> lead").groupBy("rep", "lead").agg(F.count("*").alias("votes"))
     chosen = votes.groupBy("rep").agg(F.max_by("lead", F.struct("votes", -F.col("lead"))).alias("lead"))
-    t = num / den
-    limit = 1 - t
+    limit = 1 - num / den
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b")).distinct()
+        return _intersections(pairs, stored(_sets(docs, n, ids, id_col, text_col), "sets"))
+
     linked = F.expr(f"{den} * both >= {num} * (na + nb - both)")
     distance = (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both")))
-    balls = stored(_intersections(chosen.select(F.col("rep").alias("a"), F.col("lead").alias("b")), sets)
-                   .where(linked).groupBy("a", "b").agg(F.max(distance).alias("r"), F.min(distance).alias("r_low")), "balls")
+    chosen = chosen.select(F.col("rep").alias("a"), F.col("lead").alias("b"))
+    measured = exact(stored(_plausible(chosen, reps, limit), "chosen"))
+    balls = stored(measured.where(linked).groupBy("a", "b").agg(F.max(distance).alias("r")), "balls")
     labels = (shared.select("rep").distinct().join(balls.select(F.col("a").alias("rep"), "b", "r"), "rep", "left")
               .select("rep", F.coalesce("b", "rep").alias("label"), F.coalesce("r", F.lit(0.0)).alias("r")))
     labels = stored(labels, "labels")
 
     radius = labels.groupBy("label").agg(F.max("r").alias("r"))
-    entries = (shared.select("token", "rep").join(labels.select("rep", "label"), "rep")
-               .select("token", "label").distinct()
-               .join(radius, "label")
-               .join(reps.select(F.col("rep").alias("label"), "n", "bits"), "label")
-               .select("token", "label", F.col("n").cast("long").alias("n"), "r", "bits"))
-    pairs = _tile_pairs(entries, limit)
-    near = (_intersections(pairs, sets).select("a", "b", linked.alias("linked"), distance.alias("d"))
+    held = stored(shared.select("token", "rep").join(labels.select("rep", "label"), "rep")
+                  .select("token", "label").distinct(), "held")
+    several = held.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    entries = (held.join(several, "token").join(radius, "label")
+               .join(reps.select(F.col("rep").alias("label"), F.col("n").cast("long").alias("n"), "bits"), "label")
+               .select("token", "c", "label", "n", "r", "bits"))
+    near = (exact(stored(_tile_pairs(entries, limit), "tiles")).select("a", "b", linked.alias("linked"), distance.alias("d"))
             .groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("d").alias("d"))
             .join(radius.select(F.col("label").alias("a"), F.col("r").alias("ra")), "a")
             .join(radius.select(F.col("label").alias("b"), F.col("r").alias("rb")), "b")
@@ -308,8 +331,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
             .where(F.expr(f"d <= {limit + 1e-9} + rx + ry and d + rx + {limit + 1e-9} >= ry and d + ry + {limit + 1e-9} >= rx"))
             .where("x <> a or y <> b")
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct())
-    late = _intersections(lone, sets).where(linked).select("a", "b")
-    late = stored(late, "late")
+    late = stored(exact(stored(lone, "open")).where(linked).select("a", "b"), "late")
     settled = first
     if late.limit(1).count():
         settled = components(links.unionAll(late))

@@ -5,9 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard_join
+from . import jaccard_join, packing, token_counts
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,8 +21,23 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(docs, n=3, num=90, den=100)
 
 
+def op8_minimum_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UTF-8 bytes and byte-level BPE tokens of every document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
 QUERIES: dict[str, Query] = {
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_minimum_bin_slack_packing": op8_minimum_bin_slack_packing,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}

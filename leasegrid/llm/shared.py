@@ -23,6 +23,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df`` marked for broadcast if its measured row count allows; else as it is, for a shuffled join.
+
+    Only for narrow rows of a stored table, as they are counted first.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """True where crc32(id as text) mod 4 is 2; a null id counts as the text ''."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
