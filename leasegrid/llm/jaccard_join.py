@@ -8,14 +8,13 @@ their distinct word n-grams, exactly and over all documents:
 2. Each document gives its set size, a digest of the whole set, a bitmap signature and its prefix:
    the rarest ``n - ceil(t n) + 1`` n-grams, of which two linked sets always share one.
    Documents with equal sets are one representative from here on.
-3. Every representative meets one leader, with which it shares prefix n-grams most often: sizes and
-   bit counts bound their overlap from above, and what is left is intersected exactly. The linked ones form a ball around the leader with their distances kept.
-4. Leaders that share a prefix n-gram meet in tiles: the entries of an n-gram are cut into tiles of
-   bounded size, sorted by set size so that only a band of sizes is compared, and bit counts of the
-   signatures bound the overlap from above. Jaccard distance is a metric, so two balls
-   of radius r1 and r2 can only hold a link if the leaders are within d + r1 + r2.
-5. Surviving leader pairs are intersected exactly; of balls not yet in one component, the member
-   pairs that the triangle inequality leaves open are intersected too.
+3. Linked sets lie in one band of sizes or in neighbouring ones, bands being 1/t wide. A prefix
+   n-gram and a band form a tile; tiles of a single representative are dropped.
+4. Every representative meets one leader, the first of most of its tiles: sizes and bit counts bound
+   their overlap from above, and what is left is intersected exactly. Linked ones take the leader's
+   label, so that large groups of near-copies need no further comparison among themselves.
+5. In tiles that still hold several labels, cut to a bounded size, representatives of different
+   labels are compared by the bit counts of their signatures; the pairs left are intersected exactly.
 
 Null and empty texts have no n-grams (size 0) and link with nothing. A text of fewer words than n
 is one n-gram. Rows that share a doc_id count as one document with several texts; rows with a null
@@ -25,6 +24,7 @@ not read, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +36,11 @@ from . import wordhash as wh
 from .components import components
 from .shared import row_blocks, small, stored, text_bytes
 
-SKETCH_BITS = 20
-#: entries of one n-gram compared in one task
+SKETCH_BITS = 22
+#: entries on each side of a tile compared in one task
 TILE = 4096
 #: smallest and largest signature, in bits
-MIN_BITS, MAX_BITS = 64, 1 << 16
+MIN_BITS, MAX_BITS = 64, 1 << 17
 
 
 def _grams(col: pa.Array, n: int, block: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -68,7 +68,8 @@ def frequency_sketch(docs: DataFrame, n: int, text_col: str = "text") -> np.ndar
             for _, _, grams, _ in _grams(b.column(0), n):
                 total += np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
         # counts near the mean say nothing about any one n-gram and would only be shuffled
-        keep = np.flatnonzero(total >= 16 + 2 * total.mean())
+        mean = total.mean()
+        keep = np.flatnonzero(total > mean + 3 * np.sqrt(mean) + 2)
         yield pa.RecordBatch.from_arrays([pa.array(keep.astype(np.int32)), pa.array(total[keep])], names=["bucket", "n"])
 
     rows = (docs.select(text_col).mapInArrow(count, "bucket int, n long")
@@ -81,13 +82,13 @@ def frequency_sketch(docs: DataFrame, n: int, text_col: str = "text") -> np.ndar
 
 def signature_bits(n: int) -> int:
     bits = MIN_BITS
-    while bits < 2 * n and bits < MAX_BITS:
+    while bits < 4 * n and bits < MAX_BITS:
         bits *= 2
     return bits
 
 
 def signature(s: np.ndarray) -> bytes:
-    """Bitmap of a set: twice its size in bits, rounded up to a power of two."""
+    """Bitmap of a set: four times its size in bits, rounded up to a power of two."""
     bits = signature_bits(len(s))
     bitmap = np.zeros(bits, np.uint8)
     bitmap[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
@@ -195,43 +196,45 @@ def _plausible(pairs: DataFrame, reps: DataFrame, limit: float) -> DataFrame:
 
 
 def _tile_pairs(entries: DataFrame, limit: float) -> DataFrame:
-    """(a, b): pairs of different labels that share an n-gram and whose signatures leave room for a
-    Jaccard distance of limit + ra + rb. Entries are (token, c, label, n, r, bits), c an n-gram's labels."""
-    tiles = F.expr(f"cast(ceil(c / {TILE}) as int)")
-    e = (entries.withColumn("k", tiles)
-         .withColumn("own", F.expr("cast(pmod(xxhash64(label), k) as int)"))
+    """(a, b): representatives of different labels in one tile whose sizes and signatures leave room for
+    a distance of ``limit``. Entries are (token, band, own, count, rep, label, n, bits): count is the
+    tile's, own 1 in the entry's own band and 0 as a neighbour from the band below."""
+    e = (entries.withColumn("k", F.expr(f"cast(ceil(count / {TILE}) as int)"))
+         .withColumn("part", F.expr("cast(pmod(xxhash64(rep), k) as int)"))
          .withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
-         .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                 "own", "label", "n", "r", "bits"))
+         .select("token", "band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
+                 "part", "own", "rep", "label", "n", "bits"))
 
-    def pairs_of(own, label, n, r, words, diagonal):
+    def pairs_of(part, own, rep, label, n, words, diagonal):
         order = np.argsort(n, kind="stable")
-        own, label, n, r = own[order], label[order], n[order], r[order]
+        part, own, rep, label, n = part[order], own[order], rep[order], label[order], n[order]
         width = np.array([len(words[k]) for k in order])  # ascending, as sizes are
         tables = {}
         for w in np.unique(width):
             first = int(np.searchsorted(width, w))
             tables[w] = first, np.concatenate([fold(words[order[k]][None, :], w) for k in range(first, len(n))])
+        last = np.searchsorted(n, n / (1 - limit) + 1e-9, side="right")
         for x in range(len(n) - 1):
-            # the largest distance that may matter bounds the sizes that can meet: n_x >= (1 - d) n_y
-            d = np.minimum(0.999, limit + r[x] + r[x + 1:])
-            ys = x + 1 + np.flatnonzero((n[x] >= (1 - d) * n[x + 1:] - 1e-9) & (label[x + 1:] != label[x]))
+            ys = slice(x + 1, last[x])
+            use = (label[ys] != label[x]) & (own[ys] + own[x] > 0)
             if not diagonal:
-                ys = ys[own[ys] != own[x]]
+                use &= part[ys] != part[x]
+            ys = x + 1 + np.flatnonzero(use)
+            if not len(ys):
+                continue
             first, rows = tables[width[x]]
             apart = np.bitwise_count(rows[ys - first] ^ rows[x - first]).sum(axis=1)
             # |A xor B| >= bits that differ; distance <= d needs |A xor B| <= d / (2 - d) * (|A| + |B|)
-            d = np.minimum(0.999, limit + r[x] + r[ys])
-            ys = ys[apart <= d / (2 - d) * (n[x] + n[ys]) + 1e-6]
+            ys = ys[apart <= limit / (2 - limit) * (n[x] + n[ys]) + 1e-6]
             if len(ys):
-                yield np.minimum(label[x], label[ys]), np.maximum(label[x], label[ys])
+                yield np.minimum(rep[x], rep[ys]), np.maximum(rep[x], rep[ys])
 
     def tile(batches):
         held = None
         for b in batches:
             t = pa.Table.from_batches([b])
             t = pa.concat_tables([held, t]) if held is not None else t
-            key = np.stack([t.column(c).to_numpy() for c in ("token", "i", "j")])
+            key = np.stack([t.column(c).to_numpy() for c in ("token", "band", "i", "j")])
             cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
             last = int(cuts[-1]) if len(cuts) else 0
             yield from _tile_out(t.slice(0, last), cuts[:-1] if len(cuts) else cuts, pairs_of)
@@ -239,21 +242,21 @@ def _tile_pairs(entries: DataFrame, limit: float) -> DataFrame:
         if held is not None:
             yield from _tile_out(held, np.zeros(0, np.int64), pairs_of)
 
-    return (e.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return (e.repartition("token", "band", "i", "j").sortWithinPartitions("token", "band", "i", "j")
             .mapInArrow(tile, "a long, b long").distinct())
 
 
 def _tile_out(t: pa.Table, cuts: np.ndarray, pairs_of) -> Iterator[pa.RecordBatch]:
     if t.num_rows < 2:
         return
-    i, j, own, label, n, r = (t.column(c).to_numpy() for c in ("i", "j", "own", "label", "n", "r"))
+    i, j, part, own, rep, label, n = (t.column(c).to_numpy() for c in ("i", "j", "part", "own", "rep", "label", "n"))
     bits = t.column("bits").combine_chunks()
     ends = np.concatenate((cuts, [t.num_rows]))
     left, right, lo = [], [], 0
     for hi in ends:
         if hi - lo > 1:
             words = [np.frombuffer(bits[k].as_buffer(), np.uint64) for k in range(lo, hi)]
-            for x, y in pairs_of(own[lo:hi], label[lo:hi], n[lo:hi], r[lo:hi], words, i[lo] == j[lo]):
+            for x, y in pairs_of(part[lo:hi], own[lo:hi], rep[lo:hi], label[lo:hi], n[lo:hi], words, i[lo] == j[lo]):
                 left.append(x)
                 right.append(y)
         lo = hi
@@ -276,65 +279,40 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
             .select("rep", "n", "prefix", "bits"))
     reps = stored(reps, "reps")
 
-    tokens = reps.select("rep", F.explode("prefix").alias("token"))
-    heads = tokens.groupBy("token").agg(F.min("rep").alias("lead"), F.max("rep").alias("top")).where("lead < top").drop("top")
-    shared = stored(tokens.join(heads, "token"), "shared")
-    # one leader for each representative, and its exact distance
-    votes = shared.where("rep <> lead").groupBy("rep", "lead").agg(F.count("*").alias("votes"))
-    chosen = votes.groupBy("rep").agg(F.max_by("lead", F.struct("votes", -F.col("lead"))).alias("lead"))
+    tokens = reps.select("rep", "n", F.explode("prefix").alias("token"))
+    alone = tokens.groupBy("token").agg(F.min("rep").alias("lead"), F.max("rep").alias("top")).where("lead < top").select("token")
+    step = -math.log(num / den) * (1 + 1e-9)  # sizes exactly 1/t apart stay neighbours whatever the rounding
+    banded = (stored(tokens.join(alone, "token"), "shared")
+              .withColumn("level", F.floor(F.log("n") / step).cast("int"))
+              .withColumn("own", F.explode(F.array(F.lit(1), F.lit(0))))
+              .select("token", (F.col("level") + 1 - F.col("own")).alias("band"), "own", "rep"))
+    tiles = (banded.groupBy("token", "band").agg(F.min("rep").alias("lead"), F.max("rep").alias("top"), F.max("own").alias("any"))
+             .where("lead < top and any = 1").drop("top", "any"))
+    held = stored(banded.join(tiles, ["token", "band"]), "held")
+
     limit = 1 - num / den
+    linked = F.expr(f"{den} * both >= {num} * (na + nb - both)")
 
-    def exact(pairs: DataFrame) -> DataFrame:
+    def links_of(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b")).distinct()
-        return _intersections(pairs, stored(_sets(docs, n, ids, id_col, text_col), "sets"))
+        sets = stored(_sets(docs, n, ids, id_col, text_col), "sets")
+        return stored(_intersections(pairs, sets).where(linked).select("a", "b").distinct(), "links")
 
-    linked = F.expr(f"{den} * both >= {num} * (na + nb - both)")
-    distance = (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both")))
+    # one leader for each representative
+    votes = held.where("rep <> lead").groupBy("rep", "lead").agg(F.count("*").alias("votes"))
+    chosen = votes.groupBy("rep").agg(F.max_by("lead", F.struct("votes", -F.col("lead"))).alias("lead"))
     chosen = chosen.select(F.col("rep").alias("a"), F.col("lead").alias("b"))
-    measured = exact(stored(_plausible(chosen, reps, limit), "chosen"))
-    balls = stored(measured.where(linked).groupBy("a", "b").agg(F.max(distance).alias("r")), "balls")
-    labels = (shared.select("rep").distinct().join(balls.select(F.col("a").alias("rep"), "b", "r"), "rep", "left")
-              .select("rep", F.coalesce("b", "rep").alias("label"), F.coalesce("r", F.lit(0.0)).alias("r")))
-    labels = stored(labels, "labels")
-
-    radius = labels.groupBy("label").agg(F.max("r").alias("r"))
-    held = stored(shared.select("token", "rep").join(labels.select("rep", "label"), "rep")
-                  .select("token", "label").distinct(), "held")
-    several = held.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    entries = (held.join(several, "token").join(radius, "label")
-               .join(reps.select(F.col("rep").alias("label"), F.col("n").cast("long").alias("n"), "bits"), "label")
-               .select("token", "c", "label", "n", "r", "bits"))
-    near = (exact(stored(_tile_pairs(entries, limit), "tiles")).select("a", "b", linked.alias("linked"), distance.alias("d"))
-            .groupBy("a", "b").agg(F.max("linked").alias("linked"), F.min("d").alias("d"))
-            .join(radius.select(F.col("label").alias("a"), F.col("r").alias("ra")), "a")
-            .join(radius.select(F.col("label").alias("b"), F.col("r").alias("rb")), "b")
-            .where(F.expr(f"linked or d <= {limit + 1e-9} + ra + rb")))
-    near = stored(near, "near")
-
-    links = balls.select("a", "b").unionAll(near.where("linked").select("a", "b"))
-    # balls that no link joins yet: member pairs left open by the triangle inequality
-    first = components(links)
-    comp = labels.join(first.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "rep", "label", "r", F.coalesce("component", "rep").alias("c"))
-    of_label = comp.where("rep = label").select("label", "c")
-    # a leader that is itself in another leader's ball has no row with rep = label; its own component then holds
-    of_label = of_label.unionAll(
-        comp.select("label").distinct().join(of_label.select("label"), "label", "left_anti")
-        .join(comp.select(F.col("rep").alias("label"), "c"), "label"))
-    open_ = (near.where("not linked").select("a", "b", "d")
-             .join(of_label.select(F.col("label").alias("a"), F.col("c").alias("ca")), "a")
-             .join(of_label.select(F.col("label").alias("b"), F.col("c").alias("cb")), "b")
-             .where("ca <> cb").select("a", "b", "d"))
-    inside = labels.select("rep", "label", "r")
-    lone = (open_.join(inside.select(F.col("rep").alias("x"), F.col("label").alias("a"), F.col("r").alias("rx")), "a")
-            .join(inside.select(F.col("rep").alias("y"), F.col("label").alias("b"), F.col("r").alias("ry")), "b")
-            .where(F.expr(f"d <= {limit + 1e-9} + rx + ry and d + rx + {limit + 1e-9} >= ry and d + ry + {limit + 1e-9} >= rx"))
-            .where("x <> a or y <> b")
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct())
-    late = stored(exact(stored(lone, "open")).where(linked).select("a", "b"), "late")
-    settled = first
-    if late.limit(1).count():
-        settled = components(links.unionAll(late))
-    return (member.join(settled.withColumnRenamed("node", "rep"), "rep", "left")
+    balls = links_of(stored(_plausible(chosen, reps, limit), "chosen"))
+
+    # tiles that still hold several labels
+    label = balls.select(F.col("a").alias("rep"), F.col("b").alias("label"))
+    named = held.drop("lead").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    mixed = (named.groupBy("token", "band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("own").alias("any"), F.count("*").alias("count"))
+             .where("x < y and any = 1").select("token", "band", "count"))
+    entries = named.join(mixed, ["token", "band"]).join(reps.select("rep", F.col("n").cast("long").alias("n"), "bits"), "rep")
+    near = links_of(stored(_tile_pairs(entries, limit), "tiles"))
+
+    settled = components(balls.unionAll(near)).withColumnRenamed("node", "rep")
+    return (member.join(settled, "rep", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.coalesce("component", "rep", "doc_id").alias("component_id")))
