@@ -15,30 +15,45 @@ pieces.
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import row_blocks
+from .token_counts import byte_alphabet
+
 #: distinct words whose ids a worker keeps
-CACHE = 250_000
-#: characters tokenised at a time
-BLOCK = 1 << 21
+CACHE = 400_000
+#: bytes of text tokenised at a time
+BLOCK = 1 << 24
 #: remainders that wait for partners
-POOL = 2048
-#: separators that Python takes for white space and the vocabulary does not
-_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+POOL = 512
+#: separators that Arrow takes for white space and the vocabulary does not
+_ODD = "[\x1c-\x1f]"
+#: a letter and a mark that starts a piece of its own whatever follows
+_BREAK = r"([a-z])([!-&(-/:-@\[-`{-~])"
+# Words of these characters are their own normal form and lower-case one by one: the vocabulary's
+# pattern then splits them as the simpler one below does.
+_PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+")
 
 
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     The vocabulary drops white space and no merge spans it, so a text's ids are those of its
-    white-space separated words in order; each distinct word is encoded once.
+    white-space separated words in order. Arrow splits the texts and numbers their distinct words;
+    each is encoded once, plain ones piece by piece with the tokenizer's model, others by the whole
+    tokenizer, and the ids are gathered by word number. Texts with a special token or an odd separator
+    go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -47,21 +62,61 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        words = [None if any(c in t for c in _ODD) else t.split() for t in texts]
-        new = [w for w in set().union(*(w for w in words if w is not None)) if w not in self.cache]
-        for lo in range(0, len(new), 20_000):
-            part = new[lo:lo + 20_000]
-            self.cache.update(zip(part, self._ids(part), strict=True))
-        get = self.cache.__getitem__
-        return [self._ids([t])[0] if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
+        self.model = self.tokenizer.model
+        specials = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "(?i)" + "|".join([_ODD, *specials])
+        self.shown = {b: ch for ch, b in byte_alphabet().items()}
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.shown)
+        ids = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word without special tokens and with its ASCII letters in lower case."""
+        pieces = self.pieces
+        if word.isascii():
+            if word.isalpha():
+                return pieces.get(word) or self._piece(word)
+        elif _PLAIN.fullmatch(word) is None:
+            return self._whole(word)
+        else:
+            word = word.lower()
+        return b"".join([pieces.get(p) or self._piece(p) for p in _PIECES.findall(word)])
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """``texts`` holds no null."""
+        if len(self.words) > CACHE:
+            self.words.clear()
+        if len(self.pieces) > CACHE:
+            self.pieces.clear()
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        plain = pc.ascii_lower(pc.if_else(pa.array(odd), "", texts))
+        lists = pc.utf8_split_whitespace(pc.replace_substring_regex(plain, _BREAK, r"\1 \2"))
+        coded = lists.flatten().dictionary_encode()
+        ids = []
+        for w in coded.dictionary.to_pylist():
+            found = self.words.get(w)
+            if found is None:
+                found = self.words[w] = self._word(w)
+            ids.append(found)
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        flat, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        number = coded.indices.to_numpy().astype(np.int64)
+        length = size[number]
+        end = np.cumsum(length)
+        gathered = flat[np.repeat(begin[number] - (end - length), length) + np.arange(end[-1] if len(end) else 0)]
+        first = np.concatenate(([0], end))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        data = gathered.tobytes()
+        out = [data[4 * a:4 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        for k in np.flatnonzero(odd):
+            out[k] = self._whole(texts[int(k)].as_py())
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -199,18 +254,14 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1
         id_type = pa.int64()
         for b in batches:
             id_type = b.column(0).type
-            keys, texts, lo = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()], 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (size == 0 or size + len(texts[hi]) <= BLOCK):
-                    size += len(texts[hi])
-                    hi += 1
+            keys, texts = b.column(0).to_pylist(), b.column(1).fill_null("").cast(pa.large_string())
+            offsets = np.concatenate(([0], np.cumsum(pc.binary_length(texts).to_numpy())))
+            for lo, hi in row_blocks(offsets, BLOCK):
                 pieces = []
-                for key, ids in zip(keys[lo:hi], encode(texts[lo:hi]), strict=True):
+                for key, ids in zip(keys[lo:hi], encode(texts.slice(lo, hi - lo)), strict=True):
                     pieces += packer.add(key, ids + end)
                 if pieces:
                     yield out(pieces, id_type)
-                lo = hi
         if pieces := list(packer.finish()):
             yield out(pieces, id_type)
 
