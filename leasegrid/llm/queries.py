@@ -115,7 +115,7 @@ ORACLE_SQL: dict[str, str] = {
 WITH RECURSIVE
 word AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
          FROM documents),
-gram AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), i -> [w[i], w[i + 1], w[i + 2]])
+gram AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: [w[i], w[i + 1], w[i + 2]])
                                              WHEN len(w) > 0 THEN [w] ELSE [] END) AS g FROM word),
 size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
 both_ AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS k FROM gram p JOIN gram q ON p.g = q.g AND p.doc_id < q.doc_id GROUP BY 1, 2),
@@ -126,8 +126,8 @@ FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN component ON id = d.doc
     "op9_subspace_pigeonhole_join": """
 WITH RECURSIVE
 vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
-        WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-          AND len(list_filter(embedding, x -> x <> 0)) > 0),
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 link AS (SELECT p.vec_id AS a, q.vec_id AS b FROM vec p JOIN vec q ON p.vec_id < q.vec_id AND len(p.v) = len(q.v)
          WHERE list_cosine_similarity(p.v, q.v) >= 0.95),"""
     + _COMPONENTS + """,
