@@ -331,7 +331,7 @@ def extract(html: str, template: frozenset[int]) -> str:
     return "\n".join(t for n, t in blocks if not n.out and (n.main or not inside) and (not template or _hash(n.symbol, t) not in template))
 
 
-def induce(pages: DataFrame, constant: float = 0.5, min_pages: int = 4) -> DataFrame:
+def induce(pages: DataFrame, constant: float = 0.8, min_pages: int = 5) -> DataFrame:
     """(host, texts): hashes of the template's nodes of each host, from (host, html) of all pages."""
 
     def shape(batches):
@@ -371,7 +371,7 @@ def induce(pages: DataFrame, constant: float = 0.5, min_pages: int = 4) -> DataF
             .where(F.col("n") >= constant * F.col("pages")).groupBy("host").agg(F.collect_set("text").alias("texts")))
 
 
-def main_text(pages: DataFrame, constant: float = 0.5, min_pages: int = 4,
+def main_text(pages: DataFrame, constant: float = 0.8, min_pages: int = 5,
               id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text) of every page."""
     host, _ = host_and_path(F.col("url"))
