@@ -8,13 +8,14 @@ their distinct word n-grams, exactly and over all documents:
 2. Each document gives its set size, a digest of the whole set, a bitmap signature and its prefix:
    the rarest ``n - ceil(t n) + 1`` n-grams, of which two linked sets always share one.
    Documents with equal sets are one representative from here on.
-3. Linked sets lie in one band of sizes or in neighbouring ones, bands being 1/t wide. A prefix
-   n-gram and a band form a tile; tiles of a single representative are dropped.
-4. Every representative meets one leader, the first of most of its tiles: sizes and bit counts bound
+3. Linked sets lie in one band of sizes or in neighbouring ones, bands being 1/t wide. Of the prefix
+   n-grams only those stay that two representatives of neighbouring bands share.
+4. Every representative meets one leader, the first of most of its n-grams: sizes and bit counts bound
    their overlap from above, and what is left is intersected exactly. Linked ones take the leader's
    label, so that large groups of near-copies need no further comparison among themselves.
-5. In tiles that still hold several labels, cut to a bounded size, representatives of different
-   labels are compared by the bit counts of their signatures; the pairs left are intersected exactly.
+5. The entries of an n-gram that still holds several labels form tiles of bounded size, sorted by set
+   size so that only a band is compared: first by coarse signatures, then by fine ones, and the
+   pairs left are intersected exactly.
 
 Null and empty texts have no n-grams (size 0) and link with nothing. A text of fewer words than n
 is one n-gram. Rows that share a doc_id count as one document with several texts; rows with a null
@@ -34,11 +35,12 @@ from pyspark.sql import functions as F
 
 from . import wordhash as wh
 from .components import components
-from .shared import row_blocks, small, stored, text_bytes
+from .shared import bounded_batches, row_blocks, small, stored, text_bytes
 
-SKETCH_BITS = 22
+SKETCH_BITS = 21
 #: entries on each side of a tile compared in one task
 TILE = 4096
+TILE_KEY = ["token", "i", "j"]
 #: smallest and largest signature, in bits
 MIN_BITS, MAX_BITS = 64, 1 << 17
 
@@ -80,16 +82,11 @@ def frequency_sketch(docs: DataFrame, n: int, text_col: str = "text") -> np.ndar
     return out
 
 
-def signature_bits(n: int) -> int:
+def signature(s: np.ndarray, load: int = 4) -> bytes:
+    """Bitmap of a set: ``load`` times its size in bits, rounded up to a power of two."""
     bits = MIN_BITS
-    while bits < 4 * n and bits < MAX_BITS:
+    while bits < load * len(s) and bits < MAX_BITS:
         bits *= 2
-    return bits
-
-
-def signature(s: np.ndarray) -> bytes:
-    """Bitmap of a set: four times its size in bits, rounded up to a power of two."""
-    bits = signature_bits(len(s))
     bitmap = np.zeros(bits, np.uint8)
     bitmap[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(bitmap, bitorder="little").tobytes()
@@ -112,7 +109,7 @@ def _profiles(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray, i
 
     def profile(batches):
         for b in batches:
-            sizes, d1, d2, prefixes, maps = [], [], [], [], []
+            sizes, d1, d2, prefixes, maps, coarse = [], [], [], [], [], []
             for lo, hi, grams, at in _grams(b.column(1), n):
                 for i in range(hi - lo):
                     s = _distinct(grams[at[i]:at[i + 1]])
@@ -122,10 +119,12 @@ def _profiles(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray, i
                     if not len(s):
                         prefixes.append(s)
                         maps.append(b"")
+                        coarse.append(b"")
                         continue
                     p, freq = prefix_length(len(s), num, den), sketch[(s >> shift).astype(np.int64)]
                     prefixes.append(s[np.argsort(freq, kind="stable")[:p]] if freq.any() else s[:p])
                     maps.append(signature(s))
+                    coarse.append(signature(s, 1))
             ends = np.zeros(len(sizes) + 1, np.int64)
             np.cumsum([len(p) for p in prefixes], out=ends[1:])
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
@@ -133,11 +132,11 @@ def _profiles(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray, i
                 b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()),
                 pa.array(np.array(d1, np.uint64).view(np.int64)), pa.array(np.array(d2, np.uint64).view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int64))),
-                pa.array(maps, pa.binary()),
-            ], names=["doc_id", "n", "d1", "d2", "prefix", "bits"])
+                pa.array(maps, pa.binary()), pa.array(coarse, pa.binary()),
+            ], names=["doc_id", "n", "d1", "d2", "prefix", "bits", "coarse"])
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInArrow(profile, "doc_id long, n long, d1 long, d2 long, prefix array<long>, bits binary"))
+            .mapInArrow(profile, "doc_id long, n long, d1 long, d2 long, prefix array<long>, bits binary, coarse binary"))
 
 
 def _sets(docs: DataFrame, n: int, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -196,70 +195,68 @@ def _plausible(pairs: DataFrame, reps: DataFrame, limit: float) -> DataFrame:
 
 
 def _tile_pairs(entries: DataFrame, limit: float) -> DataFrame:
-    """(a, b): representatives of different labels in one tile whose sizes and signatures leave room for
-    a distance of ``limit``. Entries are (token, band, own, count, rep, label, n, bits): count is the
-    tile's, own 1 in the entry's own band and 0 as a neighbour from the band below."""
+    """(a, b): representatives of different labels in one tile whose sizes and coarse signatures leave
+    room for a distance of ``limit``. Entries are (token, count, rep, label, n, bits), count the token's."""
     e = (entries.withColumn("k", F.expr(f"cast(ceil(count / {TILE}) as int)"))
          .withColumn("part", F.expr("cast(pmod(xxhash64(rep), k) as int)"))
          .withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
-         .select("token", "band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
-                 "part", "own", "rep", "label", "n", "bits"))
-
-    def pairs_of(part, own, rep, label, n, words, diagonal):
-        order = np.argsort(n, kind="stable")
-        part, own, rep, label, n = part[order], own[order], rep[order], label[order], n[order]
-        width = np.array([len(words[k]) for k in order])  # ascending, as sizes are
-        tables = {}
-        for w in np.unique(width):
-            first = int(np.searchsorted(width, w))
-            tables[w] = first, np.concatenate([fold(words[order[k]][None, :], w) for k in range(first, len(n))])
-        last = np.searchsorted(n, n / (1 - limit) + 1e-9, side="right")
-        for x in range(len(n) - 1):
-            ys = slice(x + 1, last[x])
-            use = (label[ys] != label[x]) & (own[ys] + own[x] > 0)
-            if not diagonal:
-                use &= part[ys] != part[x]
-            ys = x + 1 + np.flatnonzero(use)
-            if not len(ys):
-                continue
-            first, rows = tables[width[x]]
-            apart = np.bitwise_count(rows[ys - first] ^ rows[x - first]).sum(axis=1)
-            # |A xor B| >= bits that differ; distance <= d needs |A xor B| <= d / (2 - d) * (|A| + |B|)
-            ys = ys[apart <= limit / (2 - limit) * (n[x] + n[ys]) + 1e-6]
-            if len(ys):
-                yield np.minimum(rep[x], rep[ys]), np.maximum(rep[x], rep[ys])
+         .select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "n", "part", "rep", "label", "bits"))
 
     def tile(batches):
         held = None
         for b in batches:
             t = pa.Table.from_batches([b])
             t = pa.concat_tables([held, t]) if held is not None else t
-            key = np.stack([t.column(c).to_numpy() for c in ("token", "band", "i", "j")])
+            key = np.stack([t.column(c).to_numpy() for c in TILE_KEY])
             cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
             last = int(cuts[-1]) if len(cuts) else 0
-            yield from _tile_out(t.slice(0, last), cuts[:-1] if len(cuts) else cuts, pairs_of)
+            yield from _tile_out(t.slice(0, last), limit)
             held = t.slice(last)
         if held is not None:
-            yield from _tile_out(held, np.zeros(0, np.int64), pairs_of)
+            yield from _tile_out(held, limit)
 
-    return (e.repartition("token", "band", "i", "j").sortWithinPartitions("token", "band", "i", "j")
+    return (e.repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY, "n")
             .mapInArrow(tile, "a long, b long").distinct())
 
 
-def _tile_out(t: pa.Table, cuts: np.ndarray, pairs_of) -> Iterator[pa.RecordBatch]:
+def _tile_out(t: pa.Table, limit: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of whole tiles, sorted by tile and size. All entries meet their next neighbour, then the
+    one after it, and so on; an entry stops at its tile's end or where sizes leave the band."""
     if t.num_rows < 2:
         return
-    i, j, part, own, rep, label, n = (t.column(c).to_numpy() for c in ("i", "j", "part", "own", "rep", "label", "n"))
-    bits = t.column("bits").combine_chunks()
-    ends = np.concatenate((cuts, [t.num_rows]))
-    left, right, lo = [], [], 0
-    for hi in ends:
-        if hi - lo > 1:
-            words = [np.frombuffer(bits[k].as_buffer(), np.uint64) for k in range(lo, hi)]
-            for x, y in pairs_of(part[lo:hi], own[lo:hi], rep[lo:hi], label[lo:hi], n[lo:hi], words, i[lo] == j[lo]):
-                left.append(x)
-                right.append(y)
-        lo = hi
+    token, i, j, n, part, rep, label = (t.column(c).to_numpy() for c in (*TILE_KEY, "n", "part", "rep", "label"))
+    group = np.concatenate(([0], np.cumsum((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+    data = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("bits").combine_chunks()]
+    width = np.array([len(w) for w in data])
+    place = np.zeros(len(data), np.int64)  # each entry's row in the table of its width, and in that of half of it
+    own, half = {}, {}
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        place[at] = np.arange(len(at))
+        own[w] = np.stack([data[k] for k in at])
+        half[w] = fold(own[w], w // 2) if w > 1 else own[w]
+    top, left, right = n / (1 - limit) + 1e-9, [], []
+    x, step = np.arange(len(n)), 0
+    while True:
+        step += 1
+        x = x[x + step < len(n)]
+        y = x + step
+        on = (group[x] == group[y]) & (n[y] <= top[x])
+        x, y = x[on], y[on]
+        if not len(x):
+            break
+        meet = (label[x] != label[y]) & ((i[x] == j[x]) | (part[x] != part[y]))
+        a, b = x[meet], y[meet]
+        for w in np.unique(width[a]):
+            for other, table in ((w, own), (2 * w, half)):  # sizes of a band differ by less than two
+                at = np.flatnonzero((width[a] == w) & (width[b] == other))
+                if len(at):
+                    u, v = a[at], b[at]
+                    apart = np.bitwise_count(own[w][place[u]] ^ table[other][place[v]]).sum(axis=1)
+                    # |A xor B| >= bits that differ; distance <= d needs |A xor B| <= d / (2 - d) * (|A| + |B|)
+                    near = apart <= limit / (2 - limit) * (n[u] + n[v]) + 1e-6
+                    left.append(np.minimum(rep[u], rep[v])[near])
+                    right.append(np.maximum(rep[u], rep[v])[near])
     if left:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
@@ -270,30 +267,35 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
 
     Two documents link when den * |A and B| >= num * |A or B| over their distinct n-word shingles.
     """
+    if den > 2 * num:
+        raise ValueError("bands assume a similarity of at least one half")
+    bounded_batches(docs.sparkSession)
     sketch = frequency_sketch(docs, n, text_col)
     profiles = stored(_profiles(docs, n, num, den, sketch, id_col, text_col), "profiles")
     digests = (profiles.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
                .where("rep is not null"))
-    member = profiles.select("doc_id", "n", "d1", "d2").join(digests, ["d1", "d2", "n"], "left")
-    reps = (profiles.where("n > 0").join(digests, ["d1", "d2", "n"]).where("doc_id = rep")
-            .select("rep", "n", "prefix", "bits"))
-    reps = stored(reps, "reps")
+    member = stored(profiles.select("doc_id", "n", "d1", "d2").join(digests, ["d1", "d2", "n"], "left")
+                    .select("doc_id", "n", "rep"), "member")
+    copies = small(member.where("doc_id <> rep").select("doc_id").distinct())
+    reps = (profiles.where("n > 0 and doc_id is not null").join(copies, "doc_id", "left_anti")
+            .withColumnRenamed("doc_id", "rep"))
 
     tokens = reps.select("rep", "n", F.explode("prefix").alias("token"))
-    alone = tokens.groupBy("token").agg(F.min("rep").alias("lead"), F.max("rep").alias("top")).where("lead < top").select("token")
+    several = tokens.groupBy("token").agg(F.min("rep").alias("lead"), F.max("rep").alias("top")).where("lead < top").select("token")
+    shared = stored(tokens.join(small(stored(several, "several"), 2_000_000), "token"), "shared")
     step = -math.log(num / den) * (1 + 1e-9)  # sizes exactly 1/t apart stay neighbours whatever the rounding
-    banded = (stored(tokens.join(alone, "token"), "shared")
-              .withColumn("level", F.floor(F.log("n") / step).cast("int"))
+    banded = (shared.withColumn("level", F.floor(F.log("n") / step).cast("int"))
               .withColumn("own", F.explode(F.array(F.lit(1), F.lit(0))))
               .select("token", (F.col("level") + 1 - F.col("own")).alias("band"), "own", "rep"))
     tiles = (banded.groupBy("token", "band").agg(F.min("rep").alias("lead"), F.max("rep").alias("top"), F.max("own").alias("any"))
              .where("lead < top and any = 1").drop("top", "any"))
-    held = stored(banded.join(tiles, ["token", "band"]), "held")
+    held = stored(banded.join(tiles, ["token", "band"]).groupBy("token", "rep").agg(F.min("lead").alias("lead")), "held")
 
     limit = 1 - num / den
     linked = F.expr(f"{den} * both >= {num} * (na + nb - both)")
 
     def links_of(pairs: DataFrame) -> DataFrame:
+        pairs = stored(_plausible(pairs, reps, limit), "pairs")
         ids = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b")).distinct()
         sets = stored(_sets(docs, n, ids, id_col, text_col), "sets")
         return stored(_intersections(pairs, sets).where(linked).select("a", "b").distinct(), "links")
@@ -301,15 +303,14 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     # one leader for each representative
     votes = held.where("rep <> lead").groupBy("rep", "lead").agg(F.count("*").alias("votes"))
     chosen = votes.groupBy("rep").agg(F.max_by("lead", F.struct("votes", -F.col("lead"))).alias("lead"))
-    chosen = chosen.select(F.col("rep").alias("a"), F.col("lead").alias("b"))
-    balls = links_of(stored(_plausible(chosen, reps, limit), "chosen"))
+    balls = links_of(chosen.select(F.col("rep").alias("a"), F.col("lead").alias("b")))
 
-    # tiles that still hold several labels
+    # n-grams that still hold several labels
     label = balls.select(F.col("a").alias("rep"), F.col("b").alias("label"))
-    named = held.drop("lead").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = (named.groupBy("token", "band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("own").alias("any"), F.count("*").alias("count"))
-             .where("x < y and any = 1").select("token", "band", "count"))
-    entries = named.join(mixed, ["token", "band"]).join(reps.select("rep", F.col("n").cast("long").alias("n"), "bits"), "rep")
+    named = stored(held.drop("lead").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "named")
+    mixed = (named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("count"))
+             .where("x < y").select("token", "count"))
+    entries = named.join(mixed, "token").join(reps.select("rep", F.col("n").cast("long").alias("n"), F.col("coarse").alias("bits")), "rep")
     near = links_of(stored(_tile_pairs(entries, limit), "tiles"))
 
     settled = components(balls.unionAll(near)).withColumnRenamed("node", "rep")

@@ -23,6 +23,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 16 MB in this session: texts can be long, and executors hold several batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """``df`` marked for broadcast if its measured row count allows; else as it is, for a shuffled join.
 
