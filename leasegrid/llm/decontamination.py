@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import wordhash as wh
-from .shared import row_blocks, text_bytes
+from .shared import bounded_batches, row_blocks, text_bytes
 
 SEPARATOR = np.ones(256, bool)
 SEPARATOR[48:58] = SEPARATOR[65:91] = SEPARATOR[97:123] = SEPARATOR[128:] = False
@@ -181,6 +181,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: flo
                item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, similarity, score, seeds, first_word, last_word) of every document and test item whose
     best alignment has a similarity of ``threshold`` or more; the words are the aligned window's, from 0."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.lower(item_text_col).alias("text"))
     doc_kind = texts.schema["doc_id"].dataType.simpleString()

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash
 from .components import components
-from .shared import stored
+from .shared import bounded_batches, stored
 
 #: dimensions per block
 BLOCK_DIMS = 8
@@ -161,6 +161,7 @@ def _tile(t: pa.Table, single: bool, limit: float, budget: float) -> pa.RecordBa
 def near_duplicates(vectors: DataFrame, t: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row: links are pairs of cosine >= t, the component is
     the smallest id reachable by links, and a row is kept if that is its own."""
+    bounded_batches(vectors.sparkSession)
     budget = 2 - 2 * t + 1e-12
     source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("embedding"))
     single = source.schema["embedding"].dataType.elementType.simpleString() == "float"

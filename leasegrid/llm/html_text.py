@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import bounded_batches, stored
 from .url_rules import host_and_path
 
 # Fixed values of HTML: elements without content, elements whose content is no text, block elements.
@@ -374,6 +374,7 @@ def induce(pages: DataFrame, constant: float = 0.8, min_pages: int = 5) -> DataF
 def main_text(pages: DataFrame, constant: float = 0.8, min_pages: int = 5,
               id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text) of every page."""
+    bounded_batches(pages.sparkSession)
     host, _ = host_and_path(F.col("url"))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host)
     # at most 1 / constant texts per slot of the host's trees

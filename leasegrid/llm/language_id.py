@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
 #: a language uses a script that holds at least this share of its letters
@@ -202,6 +204,7 @@ def _blocks(texts: list[str]):
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", penalty: float = 12.0) -> Model:
     """A model from all rows with a text and a language. What reaches the driver is at most
     languages x (BUCKETS + scripts) counts, whatever the input."""
+    bounded_batches(labelled.sparkSession)
 
     def count(batches):
         grams: dict[str, np.ndarray] = {}
@@ -238,6 +241,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
 
 def identify(docs: DataFrame, model: Model, spans: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score[, spans]) of every row."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
@@ -261,6 +265,7 @@ def identify(docs: DataFrame, model: Model, spans: bool = True, id_col: str = "d
 def accepted(docs: DataFrame, model: Model, share: float, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, of which one language holds at least ``share`` of the
     letters; texts without letters are rejected. Rows do not move between tasks."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:

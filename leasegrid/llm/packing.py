@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import row_blocks
+from .shared import bounded_batches, row_blocks
 from .token_counts import byte_alphabet
 
 #: distinct words whose ids a worker keeps
@@ -235,6 +235,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1
     from 0 and sum to at most ``capacity``. A sequence id is the task's number in the high bits and
     the sequence's number within the task in the low ones, so a task that runs again gives the same.
     """
+    bounded_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -21,8 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 # The pre-token pattern of the vocabulary, with its white space spelled out.
-SPACES = r"\x09-\x0d\x20\x85\xa0  -     　"
+SPACES = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + SPACES + r"\p{L}\p{N}]+|["
            + SPACES + r"]+(?![^" + SPACES + r"])|[" + SPACES + r"]+")
 #: distinct pre-tokens whose counts a worker keeps
@@ -129,6 +131,7 @@ def merger(path: str) -> RankMerger:
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row; ``vocabulary`` is the .json file's path on the workers."""
+    bounded_batches(docs.sparkSession)
 
     def count(batches):
         m = merger(vocabulary)
