@@ -42,7 +42,7 @@ SKETCH_BITS = 21
 TILE = 4096
 TILE_KEY = ["token", "i", "j"]
 #: smallest and largest signature, in bits
-MIN_BITS, MAX_BITS = 64, 1 << 17
+MIN_BITS, MAX_BITS = 256, 1 << 17
 
 
 def _grams(col: pa.Array, n: int, block: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
