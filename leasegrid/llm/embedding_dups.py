@@ -33,7 +33,7 @@ BLOCK_DIMS = 8
 #: vectors on each side of a tile
 TILE = 16_384
 #: rows of a tile's side compared at once, and candidate pairs verified at once
-STEP, VERIFY = 512, 1 << 17
+STEP, VERIFY = 128, 1 << 17
 #: allowance of the candidate search for rounding, in squared distance
 SLACK = 1e-5
 
@@ -102,14 +102,16 @@ def _links(xa, ya, xb, yb, same: bool, block: int, t: float, budget: float):
     dim, first = ya.shape[1], block_bounds(ya.shape[1])
     width = np.diff(first)
     lo, hi, share = first[block], first[block + 1], budget * width[block] / dim
-    pa_, pb = ya[:, lo:hi].astype(np.float32), yb[:, lo:hi].astype(np.float32)
-    na, nb = (pa_ * pa_).sum(axis=1), (pb * pb).sum(axis=1)
+    # |a - b|^2 as one product: (-2a, |a|^2, 1) . (b, 1, |b|^2)
+    left, right = ya[:, lo:hi], yb[:, lo:hi]
+    left = np.column_stack((-2 * left, (left * left).sum(axis=1), np.ones(len(left)))).astype(np.float32)
+    right = np.column_stack((right, np.ones(len(right)), (right * right).sum(axis=1))).astype(np.float32)
     size_a, size_b = np.sqrt((xa * xa).sum(axis=1)), np.sqrt((xb * xb).sum(axis=1))
     for s in range(0, len(ya), STEP):
         e = min(s + STEP, len(ya))
         from_b = s if same else 0
-        apart = na[s:e, None] + nb[None, from_b:] - 2 * (pa_[s:e] @ pb[from_b:].T)
-        i, j = np.nonzero(apart <= share + SLACK)
+        found = np.flatnonzero(left[s:e] @ right[from_b:].T <= np.float32(share + SLACK))
+        i, j = np.divmod(found, len(right) - from_b)
         i, j = i + s, j + from_b
         if same:
             i, j = i[i < j], j[i < j]
