@@ -3,7 +3,7 @@
 Words are maximal runs of ASCII letters, digits and non-ASCII characters of the lower-cased text.
 A first pass counts in how many documents each n-gram of the test items occurs. Of every ``spread``
 consecutive n-grams of an item the rarest is a seed, and so is each that occurs in at most a share
-``rare`` of the documents, so common n-grams seed nothing unless an item has no others.
+``rare`` or a number ``few`` of the documents; common n-grams seed nothing unless an item has no others.
 A second pass finds the seeds in every whole text. Hits of an item on near diagonals open a window
 of the text. If enough of the item's words occur in the window at all, both are aligned locally by
 Smith-Waterman over words; the best score against the item's score with itself is the similarity,
@@ -136,10 +136,10 @@ def document_counts(texts: DataFrame, grams: Grams, n: int) -> tuple[np.ndarray,
     return out, int(rows["n"][~real].sum())
 
 
-def seeds(items: Items, counts: np.ndarray, docs: int, spread: int, rare: float) -> Items:
+def seeds(items: Items, counts: np.ndarray, docs: int, spread: int, rare: float, few: int) -> Items:
     """The items with only their seeds kept as n-grams."""
     own = counts[items.number]
-    keep = own <= rare * docs
+    keep = own <= max(few, rare * docs)
     first = np.flatnonzero(np.concatenate(([True], items.item[1:] != items.item[:-1])))
     for lo, hi in zip(first, np.append(first[1:], len(own)), strict=True):
         part = own[lo:hi]
@@ -176,7 +176,7 @@ def _windows(place: np.ndarray, length: int, size: int) -> Iterator[tuple[int, i
         yield max(0, int(place[a]) - pad), min(size, int(place[b]) + length + pad), int(b - a + 1)
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, spread: int = 6, rare: float = 1e-3,
+def find_items(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, spread: int = 4, rare: float = 1e-3, few: int = 100,
                min_words: int = 6, block_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, similarity, score, seeds, first_word, last_word) of every document and test item whose
@@ -238,7 +238,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: flo
     parts = []
     for block in _item_blocks(items, n, min_words, block_words):
         counts, total = document_counts(texts, block.grams, n)
-        parts.append(aligned(seeds(block, counts, total, spread, rare)))
+        parts.append(aligned(seeds(block, counts, total, spread, rare, few)))
     if not parts:
         return docs.sparkSession.createDataFrame([], schema)
     return reduce(DataFrame.unionAll, parts)
