@@ -76,7 +76,7 @@ K_SWEEP_FLOOR = 15
 K_HINT_SLACK = 5
 ROWS_PER_CLUSTER = 5
 KMEANS_SEED = 42
-KMEANS_RESTARTS = 10
+LLOYD_MAX_ITER = 300
 FAR_DEGREES = 0.05
 REVERSE_GEOCODE_ORDER = ["neighbourhood", "suburb", "hamlet", "village", "town", "city_district", "city", "county"]
 REVERSE_GEOCODE_DEFAULT = "Unknown"

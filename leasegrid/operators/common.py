@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 # Largest side we are willing to broadcast, in rows. Dimension tables (markets,
 # cluster centroids, medians per market) are far below it; anything beyond goes
@@ -15,25 +14,15 @@ BROADCAST_MAX_ROWS = 200_000
 def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
 
-    The side is persisted first so the size check does not recompute it; when
-    it is larger the plain DataFrame is returned and the planner shuffles.
+    The side is checkpointed first so the size check does not recompute it; when
+    it is larger the plain DataFrame is returned and the planner shuffles. The
+    session's cleaner drops the checkpoint with the last reference, so nothing
+    stays cached.
     """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = df.checkpoint()
     n = kept.limit(max_rows + 1).count()
     return F.broadcast(kept) if n <= max_rows else kept
 
 
-def with_ordinal(df: DataFrame, order_cols: list[str], name: str = "ord") -> DataFrame:
-    """Dense ordinal over a small dimension (used for config-order tie breaks)."""
-    from pyspark.sql import Window
-
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order_cols)) - 1)
-
-
-def schema_has(df: DataFrame, *cols: str) -> bool:
-    names = set(df.columns)
-    return all(c in names for c in cols)
-
-
 def is_string(df: DataFrame, col: str) -> bool:
     return df.schema[col].dataType.typeName() == "string"

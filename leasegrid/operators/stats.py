@@ -52,22 +52,26 @@ def ordinal_within(df: DataFrame, key: str, order: list[str], out: str = "pos")
     """0-based position of each row within its ``key`` group in ``order``
     (``order`` must end with a unique column such as ``row_id``).
 
-    Skew-safe: the narrow (key, order) projection is range-partitioned so one hot
-    key spans many partitions, and checkpointed so partition ids are fixed; each
-    partition numbers its own rows and a small table of per-partition counts
-    gives the offsets. No task ever holds a whole group.
+    Skew-safe: rows are range-partitioned by (key, order), so one hot key spans
+    many partitions, sorted and numbered in place, and checkpointed so the numbers
+    are fixed; a small table of each partition's first number and size per key
+    gives the offsets. No task ever holds a whole group and no row is joined back,
+    so a repeated or NULL order value neither multiplies nor drops rows.
     """
-    spark = df.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    narrow = df.select(key, *order).repartitionByRange(n_parts, key, *order) \
-        .withColumn("_pid", F.spark_partition_id()).checkpoint()
-    local = narrow.withColumn("_li", F.row_number().over(Window.partitionBy("_pid", key).orderBy(*order)) - 1)
-    counts = narrow.groupBy("_pid", key).agg(F.count(F.lit(1)).alias("_c"))
+    wide = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order) \
+        .withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    pid = F.shiftright("_at", 33)
+    counts = wide.groupBy(key, pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_c"), F.min("_at").alias("_first"))
     offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(
         Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    offs = broadcast_checked(offs.select("_pid", key, "_off"))
-    pos = local.join(offs, ["_pid", key], "inner").select(key, *order, (F.col("_off") + F.col("_li")).cast("long").alias(out))
-    return df.join(pos, [key, *order], "inner")
+    offs = broadcast_checked(offs.select(F.col(key).alias("_key"), "_pid", "_first", "_off"))
+    return wide.join(offs, F.col(key).eqNullSafe(F.col("_key")) & (pid == F.col("_pid")), "inner") \
+        .withColumn(out, (F.col("_off") + F.col("_at") - F.col("_first")).cast("long")).drop("_at", "_key", "_pid", "_first", "_off")
+
+
+def with_row_id(df: DataFrame, order: list[str], out: str = "row_id") -> DataFrame:
+    """A dense 0-based id in ``order`` over the whole table, as landed rows have none of their own."""
+    return ordinal_within(df.withColumn("_all", F.lit(0)), "_all", order, out).drop("_all")
 
 
 def group_sizes(df: DataFrame, key: str, out: str = "n") -> DataFrame:
@@ -110,7 +114,8 @@ def regression_metrics(df: DataFrame, label: str, pred: str, keys: list[str] = [
         F.sqrt(F.avg(err * err)).alias("rmse"),
         F.avg(F.abs(err)).alias("mae"),
         F.sum(err * err).alias("_sse"),
-        (F.sum(y * y) - F.sum(y) * F.sum(y) / F.count(F.lit(1))).alias("_sst"),
+        (F.count(F.lit(1)) * F.var_pop(y)).alias("_sst"),
         F.sqrt(F.avg(logerr * logerr)).alias("rmse_log"),
     )
-    return g.withColumn("r2", F.lit(1.0) - F.col("_sse") / F.col("_sst")).drop("_sse", "_sst")
+    # one row or one constant label has no variance to explain: NULL
+    return g.withColumn("r2", F.lit(1.0) - F.try_divide("_sse", F.nullif(F.col("_sst"), F.lit(0.0)))).drop("_sse", "_sst")

@@ -7,7 +7,7 @@ micro-batch finds its keys present and writes nothing, so the file source's
 exactly-once bookkeeping plus this anti-join give exactly-once output.
 
 STR2 scores a stream of requests with any batch scoring function (the estimate
-job) in ``foreachBatch`` and appends the responses.
+job) in ``foreachBatch``; each epoch's responses are one folder, replaced on replay.
 """
 
 from __future__ import annotations
@@ -15,30 +15,33 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.clean import dedupe_key
-from ..sources.listings import flatten_items, parse_pages
+from ..sources.listings import flatten_items, page_rows, parse_pages
 
 
-def _table_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath) and fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS"))
+# Stored keys lie in this many folders, so a micro-batch reads only those its own keys fall into.
+KEY_BUCKETS = 256
+
+
+def _stored_keys(spark: SparkSession, path: str) -> DataFrame | None:
+    """Keys of the table with their bucket, or None before the first batch wrote a file."""
+    try:
+        have = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    return have.select("dedupe_key", "key_bucket")
 
 
 def page_stream(spark: SparkSession, landing_dir: str) -> DataFrame:
     """Streaming page rows with their market taken from the folder name."""
-    raw = spark.readStream.format("text").option("wholetext", True).load(landing_dir)
-    return raw.select(
-        F.col("value").alias("page_json"),
-        F.col("_metadata.file_path").alias("source_file"),
-        F.regexp_extract(F.col("_metadata.file_path"), r"city_slug=([^/]+)", 1).alias("city_slug"),
-        F.regexp_extract(F.col("_metadata.file_path"), r"page=([0-9]+)", 1).cast("int").alias("page"),
-    )
+    return page_rows(spark.readStream.format("text").option("wholetext", True).load(landing_dir))
 
 
 def append_batch(table_dir: str) -> Callable[[DataFrame, int], None]:
@@ -46,15 +49,18 @@ def append_batch(table_dir: str) -> Callable[[DataFrame, int], None]:
 
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        inc = batch.withColumn("_k", dedupe_key(batch))
+        inc = batch.withColumn("dedupe_key", dedupe_key(batch))
         # first row per key inside the batch, aggregated map-side
-        cols = [c for c in inc.columns if c != "_k"]
-        inc = inc.groupBy("_k").agg(F.min_by(F.struct(*cols), F.struct("source_file", "item_pos")).alias("_r")).select("_k", "_r.*")
-        if _table_exists(spark, table_dir):
-            have = spark.read.parquet(table_dir)
-            inc = inc.join(have.select(dedupe_key(have).alias("_k")).distinct(), "_k", "left_anti")
-        inc.drop("_k").withColumn("ingest_epoch", F.lit(epoch_id)).write.mode("append") \
-            .partitionBy("city_slug").parquet(table_dir)
+        cols = [c for c in inc.columns if c != "dedupe_key"]
+        inc = inc.groupBy("dedupe_key").agg(F.min_by(F.struct(*cols), F.struct("source_file", "item_pos")).alias("_r")) \
+            .select("dedupe_key", "_r.*") \
+            .withColumn("key_bucket", F.pmod(F.xxhash64("dedupe_key"), F.lit(KEY_BUCKETS)).cast("int")).checkpoint()
+        have = _stored_keys(spark, table_dir)
+        if have is not None:
+            buckets = [r["key_bucket"] for r in inc.select("key_bucket").distinct().collect()]  # at most KEY_BUCKETS
+            inc = inc.join(have.filter(F.col("key_bucket").isin(buckets)), ["dedupe_key", "key_bucket"], "left_anti")
+        inc.withColumn("ingest_epoch", F.lit(epoch_id)).write.mode("append") \
+            .partitionBy("key_bucket").parquet(table_dir)
 
     return run
 
@@ -69,11 +75,13 @@ def start_listing_ingest(spark: SparkSession, landing_dir: str, table_dir: str,
 
 def start_request_scoring(spark: SparkSession, request_dir: str, schema: str, out_dir: str, checkpoint_dir: str,
                           score: Callable[[DataFrame], DataFrame], available_now: bool = True) -> StreamingQuery:
-    """STR2: score each micro-batch of JSON requests and append the responses."""
+    """STR2: score each micro-batch of JSON requests; responses lie under ``score_epoch=`` folders."""
     stream = spark.readStream.schema(schema).json(request_dir)
 
     def run(batch: DataFrame, epoch_id: int) -> None:
-        score(batch).withColumn("score_epoch", F.lit(epoch_id)).write.mode("append").parquet(out_dir)
+        # a replayed epoch replaces its own folder, so no answer is stored twice
+        score(batch).withColumn("score_epoch", F.lit(epoch_id)).write.mode("overwrite") \
+            .option("partitionOverwriteMode", "dynamic").partitionBy("score_epoch").parquet(out_dir)
 
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

@@ -72,3 +72,13 @@ def test_dedupe_key_and_append(spark):
     # idempotent: appending the same batch again adds nothing new
     again = clean.append_new_listings(out2, inc, dedupe_within_batch=True)
     assert again.count() == out2.count()
+
+
+def test_metrics_of_one_row_and_constant_labels(spark):
+    from leasegrid.operators.stats import regression_metrics
+
+    df = spark.createDataFrame([("a", 100.0, 90.0), ("b", 50.0, 50.0), ("b", 50.0, 60.0), ("c", 1e9 + 1, 1e9 + 1), ("c", 1e9 + 2, 1e9 + 3)],
+                               "city_slug string, y double, p double")
+    got = {r.city_slug: r for r in regression_metrics(df, "y", "p").collect()}
+    assert got["a"].r2 is None and got["a"].rmse == 10.0 and got["b"].r2 is None
+    assert abs(got["c"].r2 - (-1.0)) < 1e-6

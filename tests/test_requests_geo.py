@@ -110,3 +110,16 @@ def test_folds_exact_with_a_hot_market(spark):
         sizes = [q + 1] * rem + [q] * (5 - rem)
         expect = [f for f, s in enumerate(sizes) for _ in range(s)]
         assert [got[(c, r)] for r in sorted(ids)] == expect, c
+
+
+def test_numbers_beyond_a_long_and_not_a_number(spark):
+    from leasegrid.operators.requests import validate_requests
+
+    base = dict(request_id="x", address="12 Main St", beds="2", baths=1.0, sqft=800.0, property_type="Condo")
+    rows = [base | c for c in ({"beds": "99999999999999999999"}, {"beds": "-99999999999999999999"}, {"baths": float("nan")}, {"sqft": 1e300},
+                               {"sqft": float("inf")}, {"baths": float("inf")})]
+    df = spark.createDataFrame([(str(k), r["address"], r["beds"], r["baths"], r["sqft"], r["property_type"]) for k, r in enumerate(rows)],
+                               "request_id string, address string, beds string, baths double, sqft double, property_type string")
+    got = {r.request_id: r.error for r in validate_requests(df).collect()}
+    assert got == {"0": "Beds cannot exceed 10", "1": "Beds cannot be negative", "2": None, "3": "SqFt cannot exceed 10,000",
+                   "4": "SqFt must be a valid integer", "5": "Baths cannot exceed 10"}
