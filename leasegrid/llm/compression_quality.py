@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches
+from .shared import bounded_batches, lean
 
 #: bytes per compressed block
 CHUNK = 2048
@@ -169,4 +169,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             out = [scorer([t.as_py() for t in text.slice(k, 256)]) for k in range(0, len(text), 256)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], names=["doc_id", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, score double")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, score double")

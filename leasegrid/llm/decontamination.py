@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import wordhash as wh
-from .shared import bounded_batches, row_blocks, text_bytes
+from .shared import bounded_batches, lean, row_blocks, text_bytes
 
 SEPARATOR = np.ones(256, bool)
 SEPARATOR[48:58] = SEPARATOR[65:91] = SEPARATOR[97:123] = SEPARATOR[128:] = False
@@ -129,7 +129,7 @@ def document_counts(texts: DataFrame, grams: Grams, n: int) -> tuple[np.ndarray,
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], docs))], names=["number", "n"])
 
-    rows = texts.select("text").mapInArrow(count, "number long, n long").groupBy("number").agg(F.sum("n").alias("n")).toPandas()
+    rows = texts.select("text").mapInArrow(lean(count), "number long, n long").groupBy("number").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(len(grams.hashes), np.int64)
     real = rows["number"] >= 0
     out[rows["number"][real].to_numpy()] = rows["n"][real].to_numpy()
@@ -233,7 +233,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: flo
                          *(pa.array(v, pa.int64()) for v in (score, hits, a, z))],
                         names=["doc_id", "item_id", "similarity", "score", "seeds", "first_word", "last_word"])
 
-        return texts.mapInArrow(run, schema)
+        return texts.mapInArrow(lean(run), schema)
 
     parts = []
     for block in _item_blocks(items, n, min_words, block_words):

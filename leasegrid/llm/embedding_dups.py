@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash
 from .components import components
-from .shared import bounded_batches, stored
+from .shared import bounded_batches, lean, stored
 
 #: dimensions per block
 BLOCK_DIMS = 8
@@ -82,7 +82,7 @@ def _clean(rows: DataFrame) -> DataFrame:
                 dims.append(len(a) if ok else 0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dims, pa.int32()), pa.array(vecs, pa.binary())], names=["vec_id", "dim", "vec"])
 
-    return rows.mapInArrow(run, f"vec_id {kind}, dim int, vec binary")
+    return rows.mapInArrow(lean(run), f"vec_id {kind}, dim int, vec binary")
 
 
 def _groups(t: pa.Table) -> dict[int, np.ndarray]:
@@ -183,7 +183,7 @@ def near_duplicates(vectors: DataFrame, t: float = 0.95, id_col: str = "vec_id",
                         pa.array(cell), pa.array(n.astype(np.int64))], names=["dim", "block", "cell", "n"])
 
     # at most 2 / radius strips for each block of each vector length
-    counts = (reps.select("dim", "vec").mapInArrow(strips, "dim int, block int, cell long, n long")
+    counts = (reps.select("dim", "vec").mapInArrow(lean(strips), "dim int, block int, cell long, n long")
               .groupBy("dim", "block", "cell").agg(F.sum("n").alias("n")).collect())
     chunks = {(r["dim"], r["block"], r["cell"]): -(-r["n"] // TILE) for r in counts}
 
@@ -226,9 +226,9 @@ def near_duplicates(vectors: DataFrame, t: float = 0.95, id_col: str = "vec_id",
             yield _tile(held, single, t, budget)
 
     dealt = reps.select("dim", "rep", "mult", "vec").mapInArrow(
-        deal, ", ".join(f"{c} int" for c in [*TILE_KEY, "side"]) + ", rep long, mult long, vec binary")
+        lean(deal), ", ".join(f"{c} int" for c in [*TILE_KEY, "side"]) + ", rep long, mult long, vec binary")
     found = stored(dealt.repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY)
-                   .mapInArrow(join, "a long, links long, b long"), "links")
+                   .mapInArrow(lean(join), "a long, links long, b long"), "links")
     degree = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "rep")
     comp = components(found.where("links = 0").select("a", "b")).withColumnRenamed("node", "rep")
     per_rep = reps.select("dim", "key", "rep", "mult").join(degree, "rep", "left").join(comp, "rep", "left")

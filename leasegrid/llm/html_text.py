@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, stored
+from .shared import bounded_batches, lean, stored
 from .url_rules import host_and_path
 
 # Fixed values of HTML: elements without content, elements whose content is no text, block elements.
@@ -350,7 +350,7 @@ def induce(pages: DataFrame, constant: float = 0.8, min_pages: int = 5) -> DataF
                 names=["host", "skeleton", "key", "page", "slot", "text"])
 
     shaped = stored(pages.select("host", "html").where("html <> ''").mapInArrow(
-        shape, "host string, skeleton string, key long, page long, slot array<int>, text array<long>"), "shapes")
+        lean(shape), "host string, skeleton string, key long, page long, slot array<int>, text array<long>"), "shapes")
     kinds = shaped.groupBy("host", "key").agg(F.count("*").alias("n"), F.min("skeleton").alias("skeleton"))
     kinds = stored(kinds, "kinds")
     reference = kinds.groupBy("host").agg(F.max_by("skeleton", F.struct("n", "key")).alias("reference"))
@@ -361,7 +361,7 @@ def induce(pages: DataFrame, constant: float = 0.8, min_pages: int = 5) -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.list_(pa.string()))], names=["host", "key", "names"])
 
     slots = stored(kinds.join(reference, "host").select("host", "key", "reference", "skeleton")
-                   .mapInArrow(align, "host string, key long, names array<string>"), "slots")
+                   .mapInArrow(lean(align), "host string, key long, names array<string>"), "slots")
     one = shaped.groupBy("host", "key", "page").agg(F.first("slot").alias("slot"), F.first("text").alias("text"))
     total = one.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     cells = (one.join(slots, ["host", "key"])
@@ -387,4 +387,4 @@ def main_text(pages: DataFrame, constant: float = 0.8, min_pages: int = 5,
             text = [extract(h, frozenset(t or ())) if h else "" for h, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
-    return joined.mapInArrow(run, f"page_id {kind}, url string, text string")
+    return joined.mapInArrow(lean(run), f"page_id {kind}, url string, text string")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash as wh
 from .components import components
-from .shared import bounded_batches, row_blocks, small, stored, text_bytes
+from .shared import bounded_batches, lean, row_blocks, small, stored, text_bytes
 
 SKETCH_BITS = 21
 #: entries on each side of a tile compared in one task
@@ -74,7 +74,7 @@ def frequency_sketch(docs: DataFrame, n: int, text_col: str = "text") -> np.ndar
         keep = np.flatnonzero(total > mean + 3 * np.sqrt(mean) + 2)
         yield pa.RecordBatch.from_arrays([pa.array(keep.astype(np.int32)), pa.array(total[keep])], names=["bucket", "n"])
 
-    rows = (docs.select(text_col).mapInArrow(count, "bucket int, n long")
+    rows = (docs.select(text_col).mapInArrow(lean(count), "bucket int, n long")
             .groupBy("bucket").agg(F.sum("n").alias("n")).toPandas())
     out = np.zeros(size, np.uint8)
     if len(rows):
@@ -136,7 +136,7 @@ def _profiles(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray, i
             ], names=["doc_id", "n", "d1", "d2", "prefix", "bits", "coarse"])
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInArrow(profile, "doc_id long, n long, d1 long, d2 long, prefix array<long>, bits binary, coarse binary"))
+            .mapInArrow(lean(profile), "doc_id long, n long, d1 long, d2 long, prefix array<long>, bits binary, coarse binary"))
 
 
 def _sets(docs: DataFrame, n: int, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -154,7 +154,7 @@ def _sets(docs: DataFrame, n: int, wanted: DataFrame, id_col: str, text_col: str
                                              names=["rep", "n", "arr"])
 
     text = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    return text.join(small(wanted), "rep", "left_semi").select("rep", "text").mapInArrow(arrays, "rep long, n long, arr binary")
+    return text.join(small(wanted), "rep", "left_semi").select("rep", "text").mapInArrow(lean(arrays), "rep long, n long, arr binary")
 
 
 def _intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def _intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(both, pa.int64())],
                                              names=["a", "b", "na", "nb", "both"])
 
-    return joined.mapInArrow(count, "a long, b long, na long, nb long, both long")
+    return joined.mapInArrow(lean(count), "a long, b long, na long, nb long, both long")
 
 
 def _plausible(pairs: DataFrame, reps: DataFrame, limit: float) -> DataFrame:
@@ -191,7 +191,7 @@ def _plausible(pairs: DataFrame, reps: DataFrame, limit: float) -> DataFrame:
                 keep[k] = apart <= limit / (2 - limit) * total[k] + 1e-6
             yield t.select(["a", "b"]).filter(pa.array(keep))
 
-    return joined.mapInArrow(bound, "a long, b long").distinct()
+    return joined.mapInArrow(lean(bound), "a long, b long").distinct()
 
 
 def _tile_pairs(entries: DataFrame, limit: float) -> DataFrame:
@@ -216,7 +216,7 @@ def _tile_pairs(entries: DataFrame, limit: float) -> DataFrame:
             yield from _tile_out(held, limit)
 
     return (e.repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY, "n")
-            .mapInArrow(tile, "a long, b long").distinct())
+            .mapInArrow(lean(tile), "a long, b long").distinct())
 
 
 def _tile_out(t: pa.Table, limit: float) -> Iterator[pa.RecordBatch]:
@@ -281,8 +281,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
             .withColumnRenamed("doc_id", "rep"))
 
     tokens = reps.select("rep", "n", F.explode("prefix").alias("token"))
-    several = tokens.groupBy("token").agg(F.min("rep").alias("lead"), F.max("rep").alias("top")).where("lead < top").select("token")
-    shared = stored(tokens.join(small(stored(several, "several"), 2_000_000), "token"), "shared")
+    # of two holders the sizes tell at once; more are looked at by bands below
+    several = (tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+               .where(f"c > 2 or c = 2 and {den} * lo >= {num} * hi").select("token"))
+    shared = stored(tokens.join(small(stored(several, "several"), 1_000_000), "token"), "shared")
     step = -math.log(num / den) * (1 + 1e-9)  # sizes exactly 1/t apart stay neighbours whatever the rounding
     banded = (shared.withColumn("level", F.floor(F.log("n") / step).cast("int"))
               .withColumn("own", F.explode(F.array(F.lit(1), F.lit(0))))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches
+from .shared import bounded_batches, lean
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
@@ -227,7 +227,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
                                              names=["lang", "slot", "n"])
 
     rows = (labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-            .mapInArrow(count, "lang string, slot int, n long")
+            .mapInArrow(lean(count), "lang string, slot int, n long")
             .groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas())
     langs = sorted(rows["lang"].unique())
     number = {lang: k for k, lang in enumerate(langs)}
@@ -259,7 +259,7 @@ def identify(docs: DataFrame, model: Model, spans: bool = True, id_col: str = "d
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = f"doc_id {kind}, lang_pred string, score double"
-    return rows.mapInArrow(run, schema + (", spans array<struct<start:bigint,end:bigint,lang:string>>" if spans else ""))
+    return rows.mapInArrow(lean(run), schema + (", spans array<struct<start:bigint,end:bigint,lang:string>>" if spans else ""))
 
 
 def accepted(docs: DataFrame, model: Model, share: float, text_col: str = "text") -> DataFrame:
@@ -274,4 +274,4 @@ def accepted(docs: DataFrame, model: Model, share: float, text_col: str = "text"
                 keep += [lang != "und" and score >= share for lang, score, _ in model.predict(texts[lo:hi], False)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, row_blocks
+from .shared import bounded_batches, lean, row_blocks
 from .token_counts import byte_alphabet
 
 #: distinct words whose ids a worker keeps
@@ -267,4 +267,4 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1
             yield out(pieces, id_type)
 
     return rows.mapInArrow(
-        run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+        lean(run), f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches
+from .shared import bounded_batches, lean
 
 # The pre-token pattern of the vocabulary, with its white space spelled out.
 SPACES = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -151,5 +151,5 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int, id_col: str = "do
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     rows = rows.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    return (rows.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long")
+    return (rows.mapInArrow(lean(count), f"doc_id {kind}, n_bytes long, n_tokens long")
             .withColumn("over_limit", F.col("n_tokens") > limit))
