@@ -42,7 +42,7 @@ SKETCH_BITS = 21
 TILE = 4096
 TILE_KEY = ["token", "i", "j"]
 #: smallest and largest signature, in bits
-MIN_BITS, MAX_BITS = 256, 1 << 17
+MIN_BITS, MAX_BITS = 512, 1 << 17
 
 
 def _grams(col: pa.Array, n: int, block: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -124,7 +124,7 @@ def _profiles(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray, i
                     p, freq = prefix_length(len(s), num, den), sketch[(s >> shift).astype(np.int64)]
                     prefixes.append(s[np.argsort(freq, kind="stable")[:p]] if freq.any() else s[:p])
                     maps.append(signature(s))
-                    coarse.append(signature(s, 1))
+                    coarse.append(signature(s, 2))
             ends = np.zeros(len(sizes) + 1, np.int64)
             np.cumsum([len(p) for p in prefixes], out=ends[1:])
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
