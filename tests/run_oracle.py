@@ -14,7 +14,7 @@ from .oracle import compare, duck
 def main(argv: list[str]) -> int:
     sf = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     names = argv[2:] or list(REGISTRY)
-    spark = local_session(8)
+    spark = local_session(4)
     con = duck(sf)
     failed = 0
     for n in names:
