@@ -31,9 +31,9 @@ from .shared import bounded_batches, lean, row_blocks
 from .token_counts import byte_alphabet
 
 #: distinct words whose ids a worker keeps
-CACHE = 400_000
+CACHE = 120_000
 #: bytes of text tokenised at a time
-BLOCK = 1 << 24
+BLOCK = 1 << 22
 #: remainders that wait for partners
 POOL = 512
 #: separators that Arrow takes for white space and the vocabulary does not
