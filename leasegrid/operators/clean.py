@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import clean_money, normalize_property_type, to_double
 from .common import broadcast_checked, is_string
+from .stats import ordinal_within
 
 NUMERIC_COLUMNS = ["price", "beds", "baths", "sqft", "latitude", "longitude", "year_built"]
 
@@ -198,8 +199,9 @@ def price_outlier_rows(df: DataFrame, bounds: DataFrame, keys: list[str] = ["cit
     p = F.col("price")
     side = F.when(p < F.col("lower_bound"), F.lit("low")).when(p > F.col("upper_bound"), F.lit("high"))
     rows = df.join(b, keys, "inner").select(*keys, "row_id", p, side.alias("side")).filter(F.col("side").isNotNull())
-    w = Window.partitionBy(*keys, "side").orderBy("price", "row_id")
-    return rows.withColumn("rank", F.row_number().over(w)).select(*keys, "side", "rank", "price", "row_id")
+    # one market's outliers may be many: positions by range partitions, not by one task per market
+    ranked = ordinal_within(rows.withColumn("_group", F.concat_ws("\u0000", *keys, "side")), "_group", ["price", "row_id"])
+    return ranked.select(*keys, "side", (F.col("pos") + 1).cast("int").alias("rank"), "price", "row_id")
 
 
 # --------------------------------------------------------------------------- de-dup / append

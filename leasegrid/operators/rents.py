@@ -1,4 +1,4 @@
-"""Average-rent tables: one scan over all markets, one shuffle."""
+"""Average-rent tables: one scan over all markets, one shuffle; a table is sorted only where it is shown."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from ..functions.text import city_label, clean_money, format_beds, normalize_pro
 from .common import broadcast_checked, is_string
 
 
-def avg_rent_rows(listings: DataFrame, markets: DataFrame) -> DataFrame:
+def avg_rent_rows(listings: DataFrame, markets: DataFrame, ordered: bool = True) -> DataFrame:
     """Average price and count by market x property type x beds.
 
     Reads only price, beds, property type and market (Parquet prunes the rest).
@@ -27,14 +27,13 @@ def avg_rent_rows(listings: DataFrame, markets: DataFrame) -> DataFrame:
         price.alias("price"),
         beds.alias("beds"),
         normalize_property_type(ptype_col).alias("property_type"),
-    ).filter(
-        F.col("price").isNotNull() & F.col("beds").isNotNull() & F.col("property_type").isNotNull()
-        & (F.col("price") > 0) & (F.col("beds") >= 0)
     )
-    agg = rows.groupBy("city_slug", "property_type", "beds").agg(
-        F.avg("price").alias("_avg"), F.count(F.lit(1)).alias("listings"))
+    # the price is a condition inside the aggregate: as a filter it would be parsed once more for each use
+    paid = F.when(F.col("price") > 0, F.col("price"))
+    agg = rows.groupBy("city_slug", "property_type", "beds").agg(F.avg(paid).alias("_avg"), F.count(paid).alias("listings")) \
+        .filter(F.col("beds").isNotNull() & F.col("property_type").isNotNull() & (F.col("beds") >= 0) & (F.col("listings") > 0))
     mk = broadcast_checked(markets.select("city_slug", "display_name", "state"))
-    return agg.join(mk, "city_slug", "inner").select(
+    out = agg.join(mk, "city_slug", "inner").select(
         city_label("display_name", "state").alias("city"),
         "city_slug",
         "property_type",
@@ -43,7 +42,8 @@ def avg_rent_rows(listings: DataFrame, markets: DataFrame) -> DataFrame:
         "listings",
         F.col("beds").alias("beds_value"),
         F.lower("display_name").alias("_city_sort"),
-    ).orderBy("_city_sort", "property_type", "beds_value").drop("_city_sort")
+    )
+    return (out.orderBy("_city_sort", "property_type", "beds_value") if ordered else out).drop("_city_sort")
 
 
 def avg_rent_table_layout(rows: DataFrame) -> DataFrame:
@@ -60,7 +60,9 @@ def avg_rent_table_layout(rows: DataFrame) -> DataFrame:
 
 
 def avg_rent_pivot(rows: DataFrame) -> DataFrame:
-    """Wide table: one row per (city, property type), one struct column per bed label."""
+    """Wide table: one row per (city, property type), one struct column per bed label.
+
+    The labels become columns, so they are read first: one row per distinct bed count."""
     labels = [r[0] for r in rows.select("beds", "beds_value").distinct().orderBy("beds_value").select("beds").collect()]
     return (
         rows.groupBy("city", "city_slug", "property_type")

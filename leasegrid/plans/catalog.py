@@ -128,7 +128,7 @@ SELECT city, city_slug, property_type, beds, avg_price, listings, beds_value,
 FROM agg""")
 def q_avg_rent_layout(spark, sf):
     """Per-city average-rent table coordinates (type display order, numeric bed order)."""
-    return rents.avg_rent_table_layout(q_avg_rents(spark, sf))
+    return rents.avg_rent_table_layout(rents.avg_rent_rows(td.raw_listings(spark, sf), td.markets(spark, sf), ordered=False))
 
 
 # ============================================================== cleaning

@@ -51,8 +51,8 @@ raw_listings AS (
          ELSE {_case('o_orderpriority', PRIORITY_TO_RAW_TYPE)} END AS property_type_raw,
     o_orderdate AS listed_date,
     CAST(o_custkey % 8 AS INTEGER) AS cluster_id
-  FROM (SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS _cents,
-               CAST(floor(CAST(floor(o_totalprice) AS BIGINT) / 100) AS BIGINT) AS _dollars FROM orders) o
+  FROM (SELECT *, CAST(floor(_cents / 100) AS BIGINT) AS _dollars FROM (
+          SELECT *, CAST(floor(o_totalprice) AS BIGINT) * CASE WHEN o_orderkey % 61 = 0 THEN 9 ELSE 1 END AS _cents FROM orders) c) o
 )"""
 
 # standardize_listings: price text -> double, type spelling -> canonical.

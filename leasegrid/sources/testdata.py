@@ -52,7 +52,8 @@ def _raw_type(priority, key):
 
 
 def _price_text(totalprice, key):
-    cents = F.floor(totalprice).cast("long")
+    # some listings cost far more than their market, as outliers
+    cents = F.floor(totalprice).cast("long") * F.when(_mod(key, 61) == 0, 9).otherwise(1)
     dollars = F.floor(cents / 100).cast("long")
     frac = F.lpad(_mod(cents, 100).cast("string"), 2, "0")
     with_comma = F.when(
