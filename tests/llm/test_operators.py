@@ -137,6 +137,13 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_long_chains_in_random_order(spark):
+    for n in (1_000, 3_000):
+        ids = random.Random(n).sample(range(10 * n), n)
+        got = components(spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long")).collect()
+        assert {r["node"]: r["component"] for r in got} == dict.fromkeys(ids, min(ids)) and len(got) == n
+
+
 # ---------------------------------------------------------------- 9: embeddings
 
 def test_embeddings_against_all_pairs(spark):
