@@ -1,6 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are maximal runs of ASCII letters, digits and non-ASCII characters of the lower-cased text.
+Words are maximal runs of ASCII letters, digits and non-ASCII characters of the lower-cased text. Each
+character of a script written without spaces (Han, kana, Thai, Lao, Khmer, Burmese, Tibetan and others) is a
+word of its own, and ideographic and full-width punctuation separates words.
 A first pass counts in how many documents each n-gram of the test items occurs. Of every ``spread``
 consecutive n-grams of an item the rarest is a seed, and so is each that occurs in at most a share
 ``rare`` or a number ``few`` of the documents; common n-grams seed nothing unless an item has no others.
@@ -12,8 +14,11 @@ which edits, insertions and deletions lower but do not break.
 Both passes are scans: neither texts nor hits are shuffled. Test items go to the tasks in blocks of
 at most ``block_words`` words, each block with passes of its own, so their number is not bounded.
 
-Null and empty texts hold nothing. Items that are null or shorter than ``min_words`` words are
-matched nowhere, as common phrases would be. Ties between windows go to the first. Repeated documents
+Items shorter than ``min_words`` words (a word of one unspaced character counts as half) are too short to be
+told from chance when edited: they are found by exact copies of all their words in order, at any place, also
+if they are a single word or a common phrase.
+
+Null and empty texts hold nothing. Items that are null or without words are matched nowhere. Ties between windows go to the first. Repeated documents
 and items give repeated rows; null ids pass through; other columns are not read; empty tables give no rows.
 """
 
@@ -37,6 +42,20 @@ SEPARATOR[48:58] = SEPARATOR[65:91] = SEPARATOR[97:123] = SEPARATOR[128:] = Fals
 MATCH, MISMATCH, GAP = 2, 1, 1
 FILTER_BITS = 22
 
+# Code point ranges of scripts written without spaces, last ones inclusive, and of punctuation
+# that separates words besides the ASCII characters.
+UNSPACED = [(0xE00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F),
+            (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x3035), (0x3038, 0x303C), (0x3041, 0x30FA), (0x30FC, 0x312F),
+            (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA980, 0xA9FF), (0xAA60, 0xAADF),
+            (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF)]
+PUNCTUATION = [(0x3000, 0x3004), (0x3008, 0x3020), (0x302A, 0x3030), (0x3036, 0x3037), (0x303D, 0x303F), (0x30FB, 0x30FB),
+               (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65)]
+#: by code point: 1 a word of its own, 2 a separator
+KIND = np.zeros(0x110000, np.uint8)
+for _k, _ranges in ((1, UNSPACED), (2, PUNCTUATION)):
+    for _lo, _hi in _ranges:
+        KIND[_lo:_hi + 1] = _k
+
 
 @dataclass
 class Grams:
@@ -62,12 +81,40 @@ class Grams:
         return maybe[hit], at[hit]
 
 
+def word_ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``wordhash.word_ranges``, with characters of unspaced scripts as words and their punctuation between words."""
+    lead = np.flatnonzero(data >= 0xE0)  # all of them have three bytes of UTF-8 or four
+    if not len(lead):
+        return wh.word_ranges(data, offsets, SEPARATOR)
+    low = lambda k, at: data[at + k].astype(np.int64) & 0x3F
+    code = ((data[lead].astype(np.int64) & 0xF) << 12) | (low(1, lead) << 6) | low(2, lead)
+    four = data[lead] >= 0xF0
+    code[four] = ((data[lead[four]].astype(np.int64) & 7) << 18) | (low(1, lead[four]) << 12) | (low(2, lead[four]) << 6) | low(3, lead[four])
+    kind, width = KIND[code], 3 + four
+    if not kind.any():
+        return wh.word_ranges(data, offsets, SEPARATOR)
+    gap, gap_width = lead[kind == 2], width[kind == 2]
+    plain = data.copy()
+    for k in range(4):
+        plain[gap[gap_width > k] + k] = 32
+    own = lead[kind == 1]
+    starts, ends, _ = wh.word_ranges(plain, np.union1d(offsets, np.concatenate((own, own + width[kind == 1]))), SEPARATOR)
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def word_weight(data: np.ndarray, starts: np.ndarray) -> float:
+    """Number of the words that begin at ``starts``, those of one unspaced character as a half."""
+    text = data.tobytes()
+    halves = sum(KIND[ord(text[a:a + (4 if text[a] >= 0xF0 else 3)].decode())] == 1 for a in starts.tolist() if text[a] >= 0xE0)
+    return len(starts) - halves / 2
+
+
 def _read(col: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, words, first word of each text, n-grams, first n-gram of each text) for blocks of rows."""
     data, off = text_bytes(col)
     for lo, hi in row_blocks(off, 1 << 22):
         part, o = data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
-        starts, ends, first = wh.word_ranges(part, o, SEPARATOR)
+        starts, ends, first = word_ranges(part, o)
         words = wh.hash_ranges(part, starts, ends)
         grams, at = wh.gram_hashes(words, first, n)
         yield lo, words, first, grams, at
@@ -99,19 +146,45 @@ def _items(rows: list[tuple], n: int) -> Items:
     return Items(ids, words, held, np.searchsorted(held.hashes, flat), np.concatenate(item), np.concatenate(place))
 
 
-def _item_blocks(benchmark: DataFrame, n: int, min_words: int, block_words: int) -> Iterator[Items]:
-    block, size = [], 0
+@dataclass
+class Short:
+    """A block of test items that are matched exactly: ids, words, and by number of words their hashes and the items of each."""
+
+    ids: list
+    words: list[np.ndarray]
+    whole: dict[int, tuple[Grams, list[list[int]]]]
+
+
+def _short(rows: list[tuple]) -> Short:
+    by: dict[int, dict[int, list[int]]] = {}
+    for k, (_, words) in enumerate(rows):
+        (g,), _ = wh.gram_hashes(words, np.array([0, len(words)]), len(words))
+        by.setdefault(len(words), {}).setdefault(int(g), []).append(k)
+    whole = {}
+    for length, held in by.items():
+        grams = Grams.of(np.array(list(held), np.uint64))
+        whole[length] = grams, [held[int(g)] for g in grams.hashes]
+    return Short([key for key, _ in rows], [words for _, words in rows], whole)
+
+
+def _item_blocks(benchmark: DataFrame, n: int, min_words: int, block_words: int) -> Iterator[Items | Short]:
+    block, size = {True: [], False: []}, {True: 0, False: 0}
+    make = {True: _short, False: lambda rows: _items(rows, n)}
     for row in benchmark.toLocalIterator():
-        for _, words, _, _, _ in _read(pa.array([row["text"]], pa.large_string()), n):
-            if len(words) < max(n, min_words):
-                continue
-            if block and size + len(words) > block_words:
-                yield _items(block, n)
-                block, size = [], 0
-            block.append((row["item_id"], words))
-            size += len(words)
-    if block:
-        yield _items(block, n)
+        data, off = text_bytes(pa.array([row["text"]], pa.large_string()))
+        starts, ends, _ = word_ranges(data, off)
+        if not len(starts):
+            continue
+        words = wh.hash_ranges(data, starts, ends)
+        short = len(words) < n or word_weight(data, starts) < min_words
+        if block[short] and size[short] + len(words) > block_words:
+            yield make[short](block[short])
+            block[short], size[short] = [], 0
+        block[short].append((row["item_id"], words))
+        size[short] += len(words)
+    for short, rows in block.items():
+        if rows:
+            yield make[short](rows)
 
 
 def document_counts(texts: DataFrame, grams: Grams, n: int) -> tuple[np.ndarray, int]:
@@ -190,6 +263,31 @@ def find_items(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: flo
     schema = (f"doc_id {doc_kind}, item_id {item_type.simpleString()}, similarity double, score long, seeds long, "
               "first_word long, last_word long")
 
+    def batch(block: Items | Short, keys, found: list[tuple]) -> pa.RecordBatch:
+        row, item, sim, score, hits, a, z = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [keys.take(pa.array(row)), pa.array([block.ids[i] for i in item], arrow_type), pa.array(sim, pa.float64()),
+             *(pa.array(v, pa.int64()) for v in (score, hits, a, z))],
+            names=["doc_id", "item_id", "similarity", "score", "seeds", "first_word", "last_word"])
+
+    def exact(block: Short):
+        def run(batches):
+            for b in batches:
+                found = []
+                for lo, words, first, _, _ in _read(b.column(1), 1):
+                    for length, (held, copies) in block.whole.items():
+                        grams, at = wh.gram_hashes(words, first, length)
+                        place, number = held.find(grams)
+                        doc = np.searchsorted(at, place, side="right") - 1
+                        pair, begin, hits = np.unique(doc * len(copies) + number, return_index=True, return_counts=True)
+                        for p, k, c in zip(pair.tolist(), begin.tolist(), hits.tolist(), strict=True):
+                            d, a = int(doc[k]), int(place[k] - at[doc[k]])
+                            found += [(lo + d, i, 1.0, MATCH * length, c, a, a + length - 1) for i in copies[p % len(copies)]]
+                if found:
+                    yield batch(block, b.column(0), found)
+
+        return texts.mapInArrow(lean(run), schema)
+
     def aligned(block: Items):
         starts = np.searchsorted(block.number, np.arange(len(block.grams.hashes) + 1))
 
@@ -227,16 +325,15 @@ def find_items(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: flo
                         if len(own) >= n:
                             found += [(lo + int(d), *m) for m in matches(own, grams[at[d]:at[d + 1]])]
                 if found:
-                    row, item, sim, score, hits, a, z = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [keys.take(pa.array(row)), pa.array([block.ids[i] for i in item], arrow_type), pa.array(sim, pa.float64()),
-                         *(pa.array(v, pa.int64()) for v in (score, hits, a, z))],
-                        names=["doc_id", "item_id", "similarity", "score", "seeds", "first_word", "last_word"])
+                    yield batch(block, keys, found)
 
         return texts.mapInArrow(lean(run), schema)
 
     parts = []
     for block in _item_blocks(items, n, min_words, block_words):
+        if isinstance(block, Short):
+            parts.append(exact(block))
+            continue
         counts, total = document_counts(texts, block.grams, n)
         parts.append(aligned(seeds(block, counts, total, spread, rare, few)))
     if not parts:

@@ -471,6 +471,32 @@ def test_decontamination_odd(spark):
     assert decontamination.find_items(docs, bench.where("false")).count() == 0
 
 
+def test_decontamination_finds_short_and_unspaced_items(spark):
+    han = "春眠不觉晓，处处闻啼鸟。夜来风雨声，花落知多少。"
+    items = ["Quick brown fox", "Zyzzyva", "what is 2 + 2", han, "ผมรักประเทศไทยมากที่สุดในโลก", "風花雪月", "", None]
+    texts = ["a quick, BROWN fox and a quick brown fox", "quick brown dog fox", "zyzzyva!", "zyzzyvas", "So: what is 2+2?",
+             "他说：「" + han.replace("，", "").replace("处处", "处") + "」", "เขาพูดว่าผมรักประเทศไทยมากที่สุดในโลกครับ", "昔風花雪月今", "風花月雪", "春眠", "quick brown"]
+    got = decontamination.find_items(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
+                                     spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(0, 0), (2, 1), (4, 2), (5, 3), (6, 4), (7, 5)} and len(got) == 6
+    first = next(r for r in got if r["doc_id"] == 0)
+    assert (first["similarity"], first["score"], first["seeds"], first["first_word"], first["last_word"]) == (1.0, 6, 2, 1, 3)
+
+
+def test_decontamination_words_equal_a_pattern(spark):
+    rng = random.Random(5)
+    own = lambda c: decontamination.KIND[ord(c)] == 1
+    for _ in range(50):
+        texts = ["".join(rng.choice("ab 9.é—漢字テ。、ー한글ไทย😀𠀀，ß\n") for _ in range(rng.randint(0, 40))) for _ in range(4)]
+        data, off = decontamination.text_bytes(decontamination.pa.array(texts, decontamination.pa.large_string()))
+        starts, ends, first = decontamination.word_ranges(data, off)
+        raw = data.tobytes()
+        for k, t in enumerate(texts):
+            spaced = "".join(f" {c} " if own(c) else " " if decontamination.KIND[ord(c)] == 2 else c for c in t)
+            assert [raw[a:z].decode() for a, z in zip(starts[first[k]:first[k + 1]], ends[first[k]:first[k + 1]], strict=True)] == re.findall(
+                r"[A-Za-z0-9\x80-\U0010ffff]+", spaced)
+
+
 # ---------------------------------------------------------------- 5: urls
 
 def plain_rule(url):
