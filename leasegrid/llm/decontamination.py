@@ -9,7 +9,10 @@ consecutive n-grams of an item the rarest is a seed, and so is each that occurs
 A second pass finds the seeds in every whole text. Hits of an item on near diagonals open a window
 of the text. If enough of the item's words occur in the window at all, both are aligned locally by
 Smith-Waterman over words; the best score against the item's score with itself is the similarity,
-which edits, insertions and deletions lower but do not break.
+which edits, insertions and deletions lower but do not break. A second alignment, in which each error
+costs two matched words, finds the best part of the item: an item is also found if its matched words less two
+for every error are ``part_words`` or more (unspaced characters: halves), whatever share of the item they are, so that long passages are
+found by their parts.
 
 Both passes are scans: neither texts nor hits are shuffled. Test items go to the tasks in blocks of
 at most ``block_words`` words, each block with passes of its own, so their number is not bounded.
@@ -40,6 +43,8 @@ from .shared import bounded_batches, lean, row_blocks, text_bytes
 SEPARATOR = np.ones(256, bool)
 SEPARATOR[48:58] = SEPARATOR[65:91] = SEPARATOR[97:123] = SEPARATOR[128:] = False
 MATCH, MISMATCH, GAP = 2, 1, 1
+#: what a mismatch or gap costs in a part of an item: two matched words, so a part holds mostly equal words
+PART_ERROR = 4
 FILTER_BITS = 22
 
 # Code point ranges of scripts written without spaces, last ones inclusive, and of punctuation
@@ -122,10 +127,11 @@ def _read(col: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray,
 
 @dataclass
 class Items:
-    """A block of test items: ids, word hashes, and the n-grams with the items and places they stand at."""
+    """A block of test items: ids, word hashes, how many words count as one, and the n-grams with the items and places they stand at."""
 
     ids: list
     words: list[np.ndarray]
+    per: list[float]
     grams: Grams
     number: np.ndarray
     item: np.ndarray
@@ -133,38 +139,38 @@ class Items:
 
 
 def _items(rows: list[tuple], n: int) -> Items:
-    ids, words, grams, item, place = [], [], [], [], []
-    for key, text_words in rows:
+    ids, words, per, grams, item, place = [], [], [], [], [], []
+    for key, text_words, text_per in rows:
         g, _ = wh.gram_hashes(text_words, np.array([0, len(text_words)]), n)
         item.append(np.full(len(g), len(ids)))
         place.append(np.arange(len(g)))
         grams.append(g)
         ids.append(key)
         words.append(text_words)
+        per.append(text_per)
     flat = np.concatenate(grams)
     held = Grams.of(flat)
-    return Items(ids, words, held, np.searchsorted(held.hashes, flat), np.concatenate(item), np.concatenate(place))
+    return Items(ids, words, per, held, np.searchsorted(held.hashes, flat), np.concatenate(item), np.concatenate(place))
 
 
 @dataclass
 class Short:
-    """A block of test items that are matched exactly: ids, words, and by number of words their hashes and the items of each."""
+    """A block of test items that are matched exactly: ids, and by number of words their hashes and the items of each."""
 
     ids: list
-    words: list[np.ndarray]
     whole: dict[int, tuple[Grams, list[list[int]]]]
 
 
 def _short(rows: list[tuple]) -> Short:
     by: dict[int, dict[int, list[int]]] = {}
-    for k, (_, words) in enumerate(rows):
+    for k, (_, words, _) in enumerate(rows):
         (g,), _ = wh.gram_hashes(words, np.array([0, len(words)]), len(words))
         by.setdefault(len(words), {}).setdefault(int(g), []).append(k)
     whole = {}
     for length, held in by.items():
         grams = Grams.of(np.array(list(held), np.uint64))
         whole[length] = grams, [held[int(g)] for g in grams.hashes]
-    return Short([key for key, _ in rows], [words for _, words in rows], whole)
+    return Short([key for key, _, _ in rows], whole)
 
 
 def _item_blocks(benchmark: DataFrame, n: int, min_words: int, block_words: int) -> Iterator[Items | Short]:
@@ -176,11 +182,12 @@ def _item_blocks(benchmark: DataFrame, n: int, min_words: int, block_words: int)
         if not len(starts):
             continue
         words = wh.hash_ranges(data, starts, ends)
-        short = len(words) < n or word_weight(data, starts) < min_words
+        weight = word_weight(data, starts)
+        short = len(words) < n or weight < min_words
         if block[short] and size[short] + len(words) > block_words:
             yield make[short](block[short])
             block[short], size[short] = [], 0
-        block[short].append((row["item_id"], words))
+        block[short].append((row["item_id"], words, len(words) / weight))
         size[short] += len(words)
     for short, rows in block.items():
         if rows:
@@ -222,22 +229,38 @@ def seeds(items: Items, counts: np.ndarray, docs: int, spread: int, rare: float,
     held = Grams.of(items.grams.hashes[np.unique(items.number[keep])])
     number = np.searchsorted(held.hashes, items.grams.hashes[items.number[keep]])
     order = np.argsort(number, kind="stable")
-    return Items(items.ids, items.words, held, number[order], items.item[keep][order], items.place[keep][order])
+    return Items(items.ids, items.words, items.per, held, number[order], items.item[keep][order], items.place[keep][order])
 
 
-def smith_waterman(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
-    """(best local score, place in ``text`` after its last word), with linear gaps."""
-    slope = GAP * np.arange(len(text) + 1)
-    prev, best, end = np.zeros(len(text) + 1, np.int64), 0, 0
-    for w in item:
+def _align(item: np.ndarray, text: np.ndarray, mismatch: int, gap: int) -> tuple[int, int, int]:
+    """(best local score, places in ``text`` and in ``item`` after its last words), with linear gaps."""
+    slope = gap * np.arange(len(text) + 1)
+    prev, best, end, last = np.zeros(len(text) + 1, np.int64), 0, 0, 0
+    for k, w in enumerate(item):
         row = np.zeros(len(text) + 1, np.int64)
-        row[1:] = np.maximum(prev[:-1] + np.where(text == w, MATCH, -MISMATCH), prev[1:] - GAP)
+        row[1:] = np.maximum(prev[:-1] + np.where(text == w, MATCH, -mismatch), prev[1:] - gap)
         row = np.maximum(np.maximum.accumulate(np.maximum(row, 0) + slope) - slope, 0)
         top = int(row.argmax())
         if row[top] > best:
-            best, end = int(row[top]), top
+            best, end, last = int(row[top]), top, k + 1
         prev = row
-    return best, end
+    return best, end, last
+
+
+def smith_waterman(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
+    """(best local score, place in ``text`` after its last word), with linear gaps."""
+    return _align(item, text, MISMATCH, GAP)[:2]
+
+
+def held_part(item: np.ndarray, text: np.ndarray) -> tuple[int, float, int]:
+    """(score, share, place in ``text`` after its last word) of the best part of ``item`` by ``PART_ERROR``; the
+    share is the score against that of the aligned words of the item with themselves."""
+    score, end, last = _align(item, text, PART_ERROR, PART_ERROR)
+    if not score:
+        return 0, 0.0, 0
+    # the same alignment from its end: no alignment as good ends earlier in the item, or there earlier in the text
+    _, _, length = _align(item[:last][::-1], text[:end][::-1], PART_ERROR, PART_ERROR)
+    return score, score / (MATCH * length), end
 
 
 def _windows(place: np.ndarray, length: int, size: int) -> Iterator[tuple[int, int, int]]:
@@ -250,10 +273,13 @@ def _windows(place: np.ndarray, length: int, size: int) -> Iterator[tuple[int, i
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, spread: int = 4, rare: float = 1e-3, few: int = 100,
-               min_words: int = 6, block_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text",
+               min_words: int = 6, part_words: int = 13, block_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, similarity, score, seeds, first_word, last_word) of every document and test item whose
-    best alignment has a similarity of ``threshold`` or more; the words are the aligned window's, from 0."""
+    """(doc_id, item_id, similarity, score, seeds, first_word, last_word, part_score, part_similarity) of every
+    document and test item whose best alignment has a similarity of ``threshold`` or more, or whose best part has
+    ``part_words`` matched words or more, less two for every error. ``part_score`` is twice those words, ``part_similarity``
+    its share of the score of the part's words with themselves. Seeds and words, from 0, are of the window of the best
+    alignment, or of the best part if only the part suffices."""
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.lower(item_text_col).alias("text"))
@@ -261,14 +287,14 @@ def find_items(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: flo
     item_type = items.schema["item_id"].dataType
     arrow_type = to_arrow_type(item_type)
     schema = (f"doc_id {doc_kind}, item_id {item_type.simpleString()}, similarity double, score long, seeds long, "
-              "first_word long, last_word long")
+              "first_word long, last_word long, part_score long, part_similarity double")
 
     def batch(block: Items | Short, keys, found: list[tuple]) -> pa.RecordBatch:
-        row, item, sim, score, hits, a, z = zip(*found, strict=True)
+        row, item, sim, score, hits, a, z, part, share = zip(*found, strict=True)
         return pa.RecordBatch.from_arrays(
             [keys.take(pa.array(row)), pa.array([block.ids[i] for i in item], arrow_type), pa.array(sim, pa.float64()),
-             *(pa.array(v, pa.int64()) for v in (score, hits, a, z))],
-            names=["doc_id", "item_id", "similarity", "score", "seeds", "first_word", "last_word"])
+             *(pa.array(v, pa.int64()) for v in (score, hits, a, z, part)), pa.array(share, pa.float64())],
+            names=["doc_id", "item_id", "similarity", "score", "seeds", "first_word", "last_word", "part_score", "part_similarity"])
 
     def exact(block: Short):
         def run(batches):
@@ -282,7 +308,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: flo
                         pair, begin, hits = np.unique(doc * len(copies) + number, return_index=True, return_counts=True)
                         for p, k, c in zip(pair.tolist(), begin.tolist(), hits.tolist(), strict=True):
                             d, a = int(doc[k]), int(place[k] - at[doc[k]])
-                            found += [(lo + d, i, 1.0, MATCH * length, c, a, a + length - 1) for i in copies[p % len(copies)]]
+                            found += [(lo + d, i, 1.0, MATCH * length, c, a, a + length - 1, MATCH * length, 1.0) for i in copies[p % len(copies)]]
                 if found:
                     yield batch(block, b.column(0), found)
 
@@ -303,16 +329,21 @@ def find_items(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: flo
             cuts = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1])))
             for lo, hi in zip(cuts, np.append(cuts[1:], len(item)), strict=True):
                 own = block.words[item[lo]]
-                best = None
+                need = part_words * block.per[item[lo]]
+                best, part = None, (0, 0.0)
                 for a, b, hits in _windows(begin[lo:hi], len(own), len(words)):
                     text = words[a:b]
-                    if np.isin(own, text).sum() < threshold * len(own):  # each word that is nowhere costs a match
+                    if np.isin(own, text).sum() < min(threshold * len(own), need):  # each word that is nowhere costs a match
                         continue
                     score, end = smith_waterman(own, text)
                     if best is None or score > best[0]:
                         best = score, hits, a, a + end - 1
-                if best and best[0] >= threshold * MATCH * len(own):
-                    yield int(item[lo]), best[0] / (MATCH * len(own)), *best
+                    own_score, share, end = held_part(own, text)
+                    if own_score > part[0]:
+                        part = own_score, share, hits, a, a + end - 1
+                if best and (best[0] >= threshold * MATCH * len(own) or part[0] >= MATCH * need):
+                    where = best[1:] if best[0] >= threshold * MATCH * len(own) else part[2:]
+                    yield int(item[lo]), best[0] / (MATCH * len(own)), best[0], *where, *part[:2]
 
         def run(batches):
             for b in batches:

@@ -471,6 +471,43 @@ def test_decontamination_odd(spark):
     assert decontamination.find_items(docs, bench.where("false")).count() == 0
 
 
+def plain_part(a, b):
+    best, prev = 0, [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(max(0, prev[j] + (2 if x == y else -4), prev[j + 1] - 4, row[-1] - 4))
+        best, prev = max(best, *row), row
+    return best
+
+
+def test_held_part_equals_plain():
+    rng = np.random.Generator(np.random.PCG64(2))
+    for _ in range(200):
+        a, b = (rng.integers(0, 4, rng.integers(1, n)).astype(np.uint64) for n in (20, 30))
+        score, share, _ = decontamination.held_part(a, b)
+        assert score == plain_part(a.tolist(), b.tolist()) and (score > 0) == (share > 0) and share <= 1
+    passage = np.arange(400, dtype=np.uint64)
+    text = np.concatenate((np.arange(500, 520, dtype=np.uint64), passage[100:150], passage[151:250]))
+    assert decontamination.held_part(passage, text) == (2 * 149 - 4, (2 * 149 - 4) / 300, 169)
+
+
+def test_decontamination_finds_parts_of_long_items(spark):
+    rng = random.Random(22)
+    items = [sentence(rng, 400), sentence(rng, 59), sentence(rng, 100)]
+    words = [t.split() for t in items]
+    around = lambda own: " ".join([sentence(rng, 40), *own, sentence(rng, 40)])
+    gap = sentence(rng, 60).split()
+    texts = [around(words[0][120:270]), around(words[1][:29]), around(words[1][30:]), around([*words[2][:20], *gap, *words[2][60:80]]),
+             around(words[2][40:48]), sentence(rng, 300)]
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.find_items(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
+        spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert set(got) == {(0, 0), (1, 1), (2, 1), (3, 2)}
+    assert all(r["similarity"] < 0.5 for r in got.values()) and got[0, 0]["part_score"] >= 300 and got[0, 0]["part_similarity"] > 0.9
+    assert got[0, 0]["last_word"] >= 189
+
+
 def test_decontamination_finds_short_and_unspaced_items(spark):
     han = "春眠不觉晓，处处闻啼鸟。夜来风雨声，花落知多少。"
     items = ["Quick brown fox", "Zyzzyva", "what is 2 + 2", han, "ผมรักประเทศไทยมากที่สุดในโลก", "風花雪月", "", None]
