@@ -22,7 +22,8 @@ SHINGLE, SIMILAR = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters and those of which no language holds half of the letters."""
+    """Rejects documents without letters and those of which no learned language holds half of the letters;
+    letters of scripts that no learned language uses are no language's."""
     model = language_id.learn(docs.where(~held_out()))
     return language_id.accepted(docs, model, LANGUAGE_SHARE)
 

@@ -7,11 +7,12 @@ rows by counts that are summed in each task before the shuffle.
 A text is cut into words (runs of letters and marks of one script). A word's script leaves only the
 languages that use it; each of those gets the sum of its trigrams' log-probabilities. The Viterbi
 path over the words, with a penalty for each change of language, labels spans of mixed text. The
-language with the most letters is the text's; the score is its share of the letters.
+language with the most letters is the text's; the score is its share of all letters of the text.
 
 Null texts and texts without a letter are ``und`` with score 0, as is every text if no language was
 learned. Ties go to the first language in alphabetical order. Words of a script that no learned
-language uses say nothing about any. Whole texts are read, in blocks; rows are independent, so
+language uses say nothing about any: their letters are no language's and lower the score, and a text of
+such words alone has score 0 under the first language. Whole texts are read, in blocks; rows are independent, so
 repeated and null ids pass through; other columns are not read.
 """
 
@@ -177,8 +178,10 @@ class Model:
         label = self.label(w)
         n, k = len(texts), len(self.langs)
         doc = np.repeat(np.arange(n), np.diff(w.first))
-        by = np.bincount(doc * k + label, weights=w.letters, minlength=n * k).reshape(n, k)
-        total, top = by.sum(axis=1), by.argmax(axis=1)
+        total = np.bincount(doc, weights=w.letters, minlength=n)
+        known = self.uses[w.script].any(axis=1)  # other words are no language's letters
+        by = np.bincount(doc * k + label, weights=w.letters * known, minlength=n * k).reshape(n, k)
+        top = by.argmax(axis=1)
         out = [(self.langs[top[i]], float(by[i, top[i]] / total[i]), []) if total[i] else ("und", 0.0, []) for i in range(n)]
         if spans and len(label):
             offset = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))

@@ -297,6 +297,16 @@ def test_language_odd(spark):
     assert language_id.identify(empty(spark), model).count() == 0
 
 
+def test_language_letters_of_unlearned_scripts_are_none(spark):
+    rows = [("the cat and the dog", "en"), ("der hund und die katze", "de")] * 3
+    model = language_id.learn(spark.createDataFrame(rows, "text string, lang string"))
+    texts = ["Привет как дела", "春眠不觉晓", "the cat Привет как дела друзья", "the cat and the dog Привет", "die katze"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(docs, model).collect()}
+    assert got == {0: ("de", 0.0), 1: ("de", 0.0), 2: ("en", 6 / 25), 3: ("en", 15 / 21), 4: ("de", 1.0)}
+    assert {r["doc_id"] for r in language_id.accepted(docs, model, 0.5).collect()} == {3, 4}
+
+
 # ---------------------------------------------------------------- 1: quality
 
 def test_quality_held_out(spark):

@@ -48,6 +48,13 @@ def test_language_rejects_by_the_operator(stages):
     assert set(rows(after)) == kept and len(kept) > 0.95 * before.count()
 
 
+def test_texts_in_unlearned_scripts_leave(spark, stages):
+    docs, clean = stages["language"]
+    odd = spark.createDataFrame([(-1, "Съешь же ещё этих мягких французских булок", None, "s", 42), (-2, "春眠不觉晓，处处闻啼鸟。", None, "s", 12)], docs.schema)
+    after = rows(cp.language(spark, docs.unionByName(odd), SF))
+    assert after == rows(clean) and set(after) >= {i for i, r in rows(docs).items() if r["lang"] and re.search("[a-z]{3}", r["text"] or "")}
+
+
 def test_one_of_each_class_stays(stages):
     before, after = (rows(x) for x in stages["near_duplicates"])
     sets = {i: shingles(r["text"], 5) for i, r in before.items()}
