@@ -2,8 +2,9 @@
 
 The policy list decides the urls that it fits. For the others, urls with a known verdict are
 transactions of their tokens (scheme, host labels, path segments with digits masked, query keys)
-and the verdict; FP-growth mines the frequent combinations of all of them, and rules that conclude a
-verdict stay if their confidence and support suffice and no more general rule is as confident.
+and the verdict; FP-growth mines the combinations of all of them that enough rows hold, a fixed number at
+every size of the table, and rules that conclude a verdict stay if their confidence suffices and no more
+general rule is as confident.
 Every rule is filed under its rarest token. A url's tokens meet that inverted index by a join, the
 rules whose other tokens are all there are kept, and the most confident decides (ties: larger
 support, more tokens, then allow before block). A url that no rule fits gets the default verdict.
@@ -15,7 +16,7 @@ columns are not read; empty tables give empty results.
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, product
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -64,33 +65,54 @@ def tokens(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
-def mine(urls: DataFrame, min_support: float = 0.002, min_count: int = 5, min_confidence: float = 0.8,
-         common: float = 0.9, most_tokens: int = 4) -> list[tuple[tuple[str, ...], str, float, int]]:
+def mine(urls: DataFrame, min_count: int = 5, min_confidence: float = 0.8, common: float = 0.9) -> list[tuple[tuple[str, ...], str, float, int]]:
     """(tokens, verdict, confidence, support) of the rules mined from all rows (url, verdict).
 
-    Tokens of more than a share ``common`` of the urls separate nothing and are left out, as are
-    rules of more than ``most_tokens`` tokens. What reaches the driver is the pruned rule set, which
-    the support bounds, not the urls.
+    A rule needs ``min_count`` rows, however many there are, and has any number of tokens. Tokens of more than
+    a share ``common`` of the urls separate nothing and are left out. Two prunings bound the work and lose no
+    rule: a token whose urls all have one verdict is a rule that no longer one is better than, so it is not
+    combined; of tokens that occur in the same urls only one is, and stands for the others in turn. Of the
+    rest a rule stays unless a more general one is as confident. What reaches the driver is the rules that no
+    rule of one token less beats, not the urls.
     """
-    known = stored(urls.where(F.col("verdict").isin(ALLOW, BLOCK)).select("verdict", tokens(F.col("url")).alias("tokens")), "urls")
+    known = urls.where(F.col("verdict").isin(ALLOW, BLOCK)).select("verdict", tokens(F.col("url")).alias("tokens"))
+    known = stored(known.withColumn("row", F.monotonically_increasing_id()), "urls")
     n = known.count()
     if not n:
         return []
-    df = known.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    universal = [r["token"] for r in df.where(F.col("n") > common * n).collect()]  # at most tokens per url / common
-    drop = F.array(*(F.lit(t) for t in universal)).cast("array<string>")
-    basket = known.select(F.concat(F.array_except("tokens", drop), F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
-    support = max(min_support, min_count / n)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, support), minConfidence=min_confidence).fit(basket)
-    found = (model.associationRules.where(F.col("consequent")[0].isin("=" + ALLOW, "=" + BLOCK))
-             .where(F.size("antecedent") <= most_tokens)
-             .select("antecedent", F.substring(F.col("consequent")[0], 2, 9).alias("verdict"), "confidence", "support").collect())
-    by = {(frozenset(r["antecedent"]), r["verdict"]): (r["confidence"], round(r["support"] * n)) for r in found}
-    out = []
-    for (items, verdict), (confidence, count) in by.items():
-        general = (by.get((frozenset(c), verdict)) for k in range(1, len(items)) for c in combinations(items, k))
-        if not any(g and g[0] >= confidence for g in general):
-            out.append((tuple(sorted(items)), verdict, confidence, count))
+    posted = known.select("row", "verdict", F.explode("tokens").alias("token"))
+    held = stored(posted.groupBy("token").agg(
+        F.count("*").alias("n"), F.count_if(F.col("verdict") == ALLOW).alias("allow"),
+        F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"))
+        .where((F.col("n") >= min_count) & (F.col("n") <= common * n)), "tokens")
+    pure = held.where("allow = 0 or allow = n").select("token", F.when(F.col("allow") == 0, BLOCK).otherwise(ALLOW).alias("verdict"), "n")
+    out = [((r["token"],), r["verdict"], 1.0, r["n"]) for r in pure.collect()]
+    mixed = held.where("allow > 0 and allow < n")
+    same = stored(mixed.groupBy("n", "x", "y").agg(F.min("token").alias("item"), F.sort_array(F.collect_list("token")).alias("members"))
+                  .select("item", "members"), "items")
+    items = stored(same.select(F.col("item").alias("token")), "names")
+    basket = stored(posted.join(small(items), "token").groupBy("row", "verdict").agg(F.collect_list("token").alias("items"))
+                    .select(F.concat("items", F.array(F.concat(F.lit("="), "verdict"))).alias("items")), "baskets")
+    m = basket.count()
+    if not m:
+        return sorted(out)
+    # half a row less, so that rounding does not ask for one more
+    model = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / m, minConfidence=min_confidence).fit(basket)
+    found = stored(model.associationRules.where(F.col("consequent")[0].isin("=" + ALLOW, "=" + BLOCK))
+                   .select(F.sort_array("antecedent").alias("antecedent"), F.substring(F.col("consequent")[0], 2, 9).alias("verdict"),
+                           "confidence", F.round(F.col("support") * m).cast("long").alias("n")), "rules")
+    fewer = (found.where(F.size("antecedent") > 1)
+             .select("antecedent", "verdict", "confidence", F.explode(F.transform("antecedent", lambda t: F.array_remove("antecedent", t))).alias("general")))
+    general = found.select(F.col("antecedent").alias("general"), "verdict", F.col("confidence").alias("c"))
+    beaten = fewer.join(general, ["general", "verdict"]).where("c >= confidence").select("antecedent", "verdict").distinct()
+    left = stored(found.join(beaten, ["antecedent", "verdict"], "left_anti"), "left")
+    by = {(frozenset(r["antecedent"]), r["verdict"]): (r["confidence"], r["n"]) for r in left.collect()}
+    members = {r["item"]: r["members"] for r in same.where("size(members) > 1").join(
+        left.select(F.explode("antecedent").alias("item")).distinct(), "item").collect()}
+    for (own, verdict), (confidence, count) in by.items():
+        subsets = (by.get((frozenset(c), verdict)) for k in range(1, len(own)) for c in combinations(own, k))
+        if not any(g and g[0] >= confidence for g in subsets):
+            out += [(tuple(sorted(c)), verdict, confidence, count) for c in product(*(members.get(t, [t]) for t in own))]
     return sorted(out)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -580,6 +581,39 @@ def test_url_policy_and_mined_rules(spark):
     assert url_rules.judge(pages.where("false"), known, queries.POLICY).count() == 0
 
 
+def test_url_rules_equal_brute_force_at_any_size(spark):
+    rng = random.Random(33)
+    rows = [(f"http://h{rng.choice('abc')}.{rng.choice('xy')}.com/{rng.choice('pq')}/{rng.choice('rs')}?{rng.choice(['u=1&w=2', 'z=3'])}",) for _ in range(150)]
+    rows = [(u, rng.choice(["allow", "block"])) for u, in rows]
+    rows += [(f"http://farm.net/a/b/c/d/{k}", "block") for k in range(6)] + [(f"http://{rng.choice(['farm.net/a/b/c/d', 'farm.net/a/b/c/e'])}/{k}?v", "allow") for k in range(9)]
+    for extra in (0, 4000):  # 5 of 4,165 urls are less than 2 in 1,000
+        known = rows + [(f"http://other{rng.choice('abcdefgh')}.org/{k}", rng.choice(["allow", "block"])) for k in range(extra)]
+        df = spark.createDataFrame(known, "url string, verdict string")
+        bags = [(frozenset(r["t"]), r["verdict"]) for r in df.select(url_rules.tokens(F.col("url")).alias("t"), "verdict").collect()]
+        usual = {t for t, c in collections.Counter(t for b, _ in bags for t in b).items() if c > 0.9 * len(bags)}
+        count = collections.Counter()
+        for b, v in bags:
+            own = sorted(b - usual)
+            for k in range(1, len(own) + 1):
+                for c in itertools.combinations(own, k):
+                    count[c, v] += 1
+        rules = {(c, v): n / (count[c, "allow"] + count[c, "block"]) for (c, v), n in count.items() if n >= 5}
+        rules = {r: x for r, x in rules.items() if x >= 0.8}
+        plain = {(c, v): x for (c, v), x in rules.items() if not any(
+            rules.get((g, v), 0) >= x for k in range(1, len(c)) for g in itertools.combinations(c, k))}
+        got = url_rules.mine(df)
+        assert {(c, v): x for c, v, x, _ in got} == pytest.approx(plain) and len(got) == len(plain)
+        assert all(n == count[c, v] for c, v, _, n in got) and max(len(c) for c, _ in plain) > 1
+
+
+def test_url_rules_of_five_tokens(spark):
+    known = [("http://a.b.c/d/e", "block")] * 8
+    known += [(u, "allow") for u in ("http://z.b.c/d/e", "http://a.z.c/d/e", "http://a.b.z/d/e", "http://a.b.c/z/e", "http://a.b.c/d/z") for _ in range(8)]
+    known += [(f"https://www.site{k % 5}.org/x", "allow") for k in range(60)]
+    got = url_rules.mine(spark.createDataFrame(known, "url string, verdict string"))
+    assert (("h:a", "h:b", "h:c", "p:d", "p:e"), "block", 1.0, 8) in got
+
+
 def test_url_index_equals_all_rules(spark):
     rng = random.Random(32)
     urls = sorted({f"http://{rng.choice('abcd')}.{rng.choice('xyz')}.com/{rng.choice('pq')}/{k % 7}" for k in range(200)})
