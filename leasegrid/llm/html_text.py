@@ -3,7 +3,9 @@
 Every page becomes a tree of its block elements, equal neighbours folded into one. For each host the
 most frequent tree is the reference; simple tree matching aligns each other tree of the host with
 it, so that nodes of all the host's pages share slots. Over all distinct pages of a host, a node whose
-slot and text recur on at least ``constant`` of them is template; slots that vary are content.
+slot and text recur on at least ``constant`` of them is template; slots that vary are content. A host with
+several layouts, frequent trees that are little alike, is also judged layout by layout: each page is aligned
+with the nearest one, and ``constant`` is a share of that layout's distinct pages, ``min_pages`` at least.
 Content is then what is neither template nor in an element whose tag or class says that it is not
 the article (menus, page headers, footers, sidebars, notices, adverts, forms, reader comments). If a
 page has an article or main element, only those count.
@@ -22,12 +24,13 @@ columns are not read, an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import bounded_batches, lean, stored
@@ -315,6 +318,30 @@ def slot_names(reference: str, skeleton: str) -> list[str]:
     return names
 
 
+@lru_cache(maxsize=64)
+def _paths(skeleton: str) -> Counter[int]:
+    """How often each path from the root occurs; paths as hashes."""
+    paths: list[int] = []
+    for symbol, parent, _ in unfold(skeleton):
+        paths.append(hash((paths[parent] if parent >= 0 else 0, symbol)))
+    return Counter(paths)
+
+
+def alike(a: str, b: str) -> float:
+    """The share of paths that two skeletons have in common."""
+    a_paths, b_paths = _paths(a), _paths(b)
+    return 2 * (a_paths & b_paths).total() / (a_paths.total() + b_paths.total())
+
+
+def layouts(skeletons: list[str], same: float) -> list[str]:
+    """The first skeleton and each later one that is less than ``same`` alike to all before it."""
+    out: list[str] = []
+    for x in skeletons:
+        if all(alike(x, y) < same for y in out):
+            out.append(x)
+    return out
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -331,8 +358,13 @@ def extract(html: str, template: frozenset[int]) -> str:
     return "\n".join(t for n, t in blocks if not n.out and (n.main or not inside) and (not template or _hash(n.symbol, t) not in template))
 
 
-def induce(pages: DataFrame, constant: float = 0.8, min_pages: int = 5) -> DataFrame:
-    """(host, texts): hashes of the template's nodes of each host, from (host, html) of all pages."""
+def induce(pages: DataFrame, constant: float = 0.8, min_pages: int = 5, frequent: int = 32, same: float = 0.75) -> DataFrame:
+    """(host, texts): hashes of the template's nodes of each host, from (host, html) of all pages.
+
+    A host's layouts are those of its ``frequent`` most frequent skeletons that are less than ``same`` alike. A
+    text is template if slot and text recur on a share ``constant`` of the host's pages, all aligned with the
+    most frequent skeleton, or of the pages nearest to one layout, aligned with that.
+    """
 
     def shape(batches):
         for b in batches:
@@ -353,21 +385,42 @@ def induce(pages: DataFrame, constant: float = 0.8, min_pages: int = 5) -> DataF
         lean(shape), "host string, skeleton string, key long, page long, slot array<int>, text array<long>"), "shapes")
     kinds = shaped.groupBy("host", "key").agg(F.count("*").alias("n"), F.min("skeleton").alias("skeleton"))
     kinds = stored(kinds, "kinds")
-    reference = kinds.groupBy("host").agg(F.max_by("skeleton", F.struct("n", "key")).alias("reference"))
+    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), F.desc("key")))
+    top = kinds.withColumn("rank", rank).where(F.col("rank") <= frequent)
+    top = (top.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "skeleton"))).alias("r"))
+           .select("host", F.col("r")["skeleton"].alias("skeletons")))
 
-    def align(batches):
+    def choose(batches):
         for b in batches:
-            names = [slot_names(r, s) for r, s in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.list_(pa.string()))], names=["host", "key", "names"])
+            own = [layouts(x, same) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.string()))], names=["host", "layouts"])
 
-    slots = stored(kinds.join(reference, "host").select("host", "key", "reference", "skeleton")
-                   .mapInArrow(lean(align), "host string, key long, names array<string>"), "slots")
+    chosen = stored(top.mapInArrow(lean(choose), "host string, layouts array<string>"), "layouts")
+
+    def align(batches):
+        for b in batches:
+            row, layout, names = [], [], []
+            for i, (refs, skeleton) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                row.append(i)
+                layout.append(-1)  # all pages of the host
+                names.append(slot_names(refs[0], skeleton))
+                if len(refs) > 1:
+                    near = max(range(len(refs)), key=lambda k: (alike(refs[k], skeleton), -k))
+                    row.append(i)
+                    layout.append(near)
+                    names.append(slot_names(refs[near], skeleton) if near else names[-1])
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(layout, pa.int32()), pa.array(names, pa.list_(pa.string()))],
+                                             names=["host", "key", "layout", "names"])
+
+    slots = stored(kinds.join(chosen, "host").select("host", "key", "layouts", "skeleton")
+                   .mapInArrow(lean(align), "host string, key long, layout int, names array<string>"), "slots")
     one = shaped.groupBy("host", "key", "page").agg(F.first("slot").alias("slot"), F.first("text").alias("text"))
-    total = one.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    cells = (one.join(slots, ["host", "key"])
-             .select("host", F.explode(F.arrays_zip("slot", "text")).alias("x"), "names")
-             .select("host", F.element_at("names", F.col("x")["slot"] + 1).alias("name"), F.col("x")["text"].alias("text")))
-    return (cells.groupBy("host", "name", "text").agg(F.count("*").alias("n")).join(total, "host")
+    placed = one.join(slots, ["host", "key"])
+    total = placed.groupBy("host", "layout").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    cells = (placed.select("host", "layout", F.explode(F.arrays_zip("slot", "text")).alias("x"), "names")
+             .select("host", "layout", F.element_at("names", F.col("x")["slot"] + 1).alias("name"), F.col("x")["text"].alias("text")))
+    return (cells.groupBy("host", "layout", "name", "text").agg(F.count("*").alias("n")).join(total, ["host", "layout"])
             .where(F.col("n") >= constant * F.col("pages")).groupBy("host").agg(F.collect_set("text").alias("texts")))
 
 

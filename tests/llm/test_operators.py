@@ -655,6 +655,20 @@ def test_wrapper_drops_constant_blocks(spark):
     assert html_text.main_text(df.where("false")).count() == 0
 
 
+def test_wrapper_drops_constant_blocks_of_each_layout(spark):
+    rng = random.Random(42)
+    rows, want = [], {}
+    for k in range(60):
+        own = [f"{sentence(rng, 8)} {k} {x}" for x in range(3)]
+        html = [f"<div class=text><h1>{own[0]}</h1><p>{own[1]}<p>{own[2]}</div><div class=box><p>Read our daily letter</div>",
+                f"<section><table><tr><th>Price list</th></tr><tr><td>{own[0]}<td>{own[1]}</tr></table><ul><li>{own[2]}</ul></section><center>Call us</center>",
+                f"<dl><dt>{own[0]}<dd>{own[1]}</dl><blockquote>{own[2]}</blockquote><pre>All sales are final</pre><address>Main street</address>"][k % 3]
+        rows.append((k, f"http://mixed.org/{k}", f"<html><body>{html}</body></html>"))
+        want[k] = "\n".join(own)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()} == want
+
+
 def test_article_wins_and_roles_are_left_out():
     html = "<body><header>H</header><main><article><header><h1>T</h1></header><p>one<aside>no</aside><p>two<form>f</form><div class='ad-banner'>buy</div></article></main>x</body>"
     assert html_text.extract(html, frozenset()) == "T\none\ntwo"
