@@ -36,10 +36,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes documents that hold an exact or edited copy of a benchmark item."""
-    found = decontamination.find_items(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
-    leaks = stored(found.select("doc_id").distinct(), "leaks")
-    return docs.join(small(leaks), "doc_id", "left_anti")
+    """Removes documents that hold an exact or edited copy of a benchmark item, or a part of one. Every row is
+    judged by its own text, so null and repeated ids do not matter; null texts stay."""
+    own = F.sha2(F.col("text").cast("binary"), 256)
+    found = decontamination.find_items(docs.select(own.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    leaks = stored(found.select(F.col("doc_id").alias("leak")).distinct(), "leaks")
+    return docs.join(small(leaks), own == F.col("leak"), "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

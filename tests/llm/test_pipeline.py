@@ -76,6 +76,15 @@ def test_leaks_go(spark, stages):
     assert set(before) - set(after) >= leaky
 
 
+def test_leaks_go_by_row_with_null_and_repeated_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    texts = [(None, f"so {item}"), (None, "clean of it"), (5, item), (5, "clean namesake"), (6, None)]
+    odd = spark.createDataFrame([(i, t, None, None, None) for i, t in texts], docs.schema)
+    got = [(r["doc_id"], r["text"]) for r in cp.benchmark_leaks(spark, odd, SF).collect()]
+    assert sorted(got, key=str) == sorted([texts[1], texts[3], texts[4]], key=str)
+
+
 def test_personal_data_is_replaced(stages):
     before, after = (rows(x) for x in stages["personal_data"])
     assert set(before) == set(after)
