@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 from . import (
     compression_quality,
+    cross_tokenizer,
     decontamination,
     embedding_dups,
     html_text,
     jaccard_join,
     language_id,
+    licenses,
     packing,
     pii,
+    prefix_trie,
     token_counts,
     url_rules,
 )
@@ -100,10 +103,30 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op11_identity_map_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of the byte-level and the piece tokenizer on every document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return cross_tokenizer.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))[0]
+
+
+def op12_monoid_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix tree of all conversations, each rebuilt on the head of its hundred's first one."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    base = F.col("conv_id") - F.col("conv_id") % 100
+    head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    return prefix_trie.prefix_trie(turns, base, head, most=5)
+
+
+def op13_license_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and expressions of every document."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_compression_quality, op2_candidate_boosted_pii, op3_viterbi_language_id, op4_alignment_decontamination,
     op5_association_url_filter, op6_wrapper_induction, op7_ngram_jaccard_join, op8_minimum_bin_slack_packing,
-    op9_subspace_pigeonhole_join, op10_token_counts)}
+    op9_subspace_pigeonhole_join, op10_token_counts,
+    op11_identity_map_alignment, op12_monoid_prefix_trie, op13_license_expressions)}
 
 _COMPONENTS = """
 edge AS (SELECT a AS x, b AS y FROM link UNION SELECT b, a FROM link),
