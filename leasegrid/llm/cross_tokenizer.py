@@ -19,12 +19,13 @@ columns are not read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
 import re
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, compress, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from .shared import bounded_batches, lean, small, stored
 from .token_counts import SPACES, byte_alphabet
 
 #: distinct chunks of each of the two generations that a worker keeps, and the longest one kept, in characters
-CACHE, KEPT = 100_000, 64
+CACHE, KEPT = 150_000, 64
 #: characters of text per block, and chunks aligned at once
 BLOCK, CHUNKS = 1 << 21, 1 << 18
 #: an A and a B id as one int: a * SHIFT + b
@@ -85,33 +86,37 @@ class Aligner:
         self.older: dict[str, Chunk | None] = {}
 
     def _tokens(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [e.ids for e in self.a.encode_batch(chunks, add_special_tokens=False)]
+        a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
         # B puts a space before each text: a chunk's own first one is taken off, any other's first token
-        spaced = [c.startswith(" ") for c in chunks]
-        b = self.b.encode([c[1:] if s else c for c, s in zip(chunks, spaced, strict=True)], num_threads=1)
-        for k, (c, s) in enumerate(zip(chunks, spaced, strict=True)):
-            if c == " ":
+        b = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
+        for k in [k for k, c in enumerate(chunks) if c[0] != " " or c == " "]:
+            if chunks[k] == " ":
                 b[k] = [self.dummy]
-            elif not s and b[k][:1] == [self.dummy]:
+            elif b[k][:1] == [self.dummy]:
                 b[k] = b[k][1:]
         return a, b
 
+    def _whole(self, chunks: list[str], a: list[list[int]], b: list[list[int]]) -> list[bool]:
+        """Whether both sides of each chunk give back its bytes."""
+        data = [c.encode() for c in chunks]
+        ok = np.ones(len(chunks), bool)
+        for tokens, table, length in ((a, self.a_bytes, self.a_len), (b, self.b_bytes, self.b_len)):
+            flat = list(chain.from_iterable(tokens))
+            end = np.concatenate(([0], np.cumsum(length[flat])))[np.concatenate(([0], np.cumsum([len(t) for t in tokens])))]
+            if b"".join(map(table.__getitem__, flat)) != b"".join(data) or (np.diff(end) != [len(x) for x in data]).any():
+                ok &= [b"".join(map(table.__getitem__, t)) == x for t, x in zip(tokens, data, strict=True)]
+        return ok.tolist()
+
     def align(self, chunks: list[str]) -> list[Chunk | None]:
         """(A tokens, B tokens, groups, groups as text, links as 32-bit pairs) of each chunk; None where
         the tokens of one side do not give back its bytes."""
         tokens_a, tokens_b = self._tokens(chunks)
-        good, kept_a, kept_b = [], [], []
-        for c, a, b in zip(chunks, tokens_a, tokens_b, strict=True):
-            data = c.encode()
-            ok = b"".join([self.a_bytes[i] for i in a]) == data and b"".join([self.b_bytes[i] for i in b]) == data
-            good.append(ok)
-            if ok:
-                kept_a.append(a)
-                kept_b.append(b)
-        if not kept_a:
+        good = self._whole(chunks, tokens_a, tokens_b)
+        if not any(good):
             return [None] * len(chunks)
-        na, nb = (np.array([len(x) for x in t], np.int64) for t in (kept_a, kept_b))
-        a, b = (np.fromiter((i for x in t for i in x), np.int64, int(n.sum())) for t, n in ((kept_a, na), (kept_b, nb)))
+        kept_a, kept_b = (list(compress(t, good)) for t in (tokens_a, tokens_b))
+        na, nb = (np.fromiter(map(len, t), np.int64, len(t)) for t in (kept_a, kept_b))
+        a, b = (np.array(list(chain.from_iterable(t)), np.int64) for t in (kept_a, kept_b))
         a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
         a_start, b_start = a_end - self.a_len[a], b_end - self.b_len[b]
         # B tokens that overlap each A token: those that end after its start and start before its end
@@ -123,31 +128,33 @@ class Aligner:
         cuts = np.intersect1d(a_end, b_end, assume_unique=True)
         a_last, b_last = (np.searchsorted(e, cuts, side="right") for e in (a_end, b_end))
         group_end = np.searchsorted(cuts, a_end[np.cumsum(na) - 1], side="right")
-        text_a, text_b = a.astype(str).tolist(), b.astype(str).tolist()
+        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
         groups, i, j = [], 0, 0
         for p, q in zip(a_last.tolist(), b_last.tolist(), strict=True):
             groups.append(f"{text_a[i]}|{text_b[j]}" if p - i == 1 == q - j else f"{','.join(text_a[i:p])}|{','.join(text_b[j:q])}")
             i, j = p, q
-        out, k, g0, l0 = [], 0, 0, 0
-        for ok in good:
-            if not ok:
-                out.append(None)
-                continue
-            g1, l1 = int(group_end[k]), int(link_end[k])
-            out.append((int(na[k]), int(nb[k]), g1 - g0, ";".join(groups[g0:g1]), links[l0:l1].tobytes()))
-            k, g0, l0 = k + 1, g1, l1
-        return out
-
-    def lookup(self, chunks: set[str]) -> dict[str, Chunk | None]:
+        found, g0, l0, data = [], 0, 0, links.tobytes()
+        for x, y, g1, l1 in zip(na.tolist(), nb.tolist(), group_end.tolist(), (4 * link_end).tolist(), strict=True):
+            found.append((x, y, g1 - g0, ";".join(groups[g0:g1]), data[l0:l1]))
+            g0, l0 = g1, l1
+        if len(found) == len(chunks):
+            return found
+        left = iter(found)
+        return [next(left) if ok else None for ok in good]
+
+    def lookup(self, chunks: list[str]) -> list[Chunk | None]:
+        """Alignments of distinct chunks."""
         if len(self.cache) > CACHE:  # what the last generation did not use is forgotten
             self.cache, self.older = {}, self.cache
-        cache, older = self.cache, self.older
-        new = [c for c in chunks if c not in cache and c not in older]
-        found = dict(zip(new, self.align(new), strict=True)) if new else {}
-        known = {c: cache[c] if c in cache else older[c] for c in chunks if c not in found}
-        cache.update(known)
-        cache.update((c, x) for c, x in found.items() if len(c) <= KEPT)
-        return known | found
+        out = list(map(self.cache.get, chunks, repeat(0)))
+        at = [k for k, x in enumerate(out) if x == 0]
+        for k in at:
+            out[k] = self.older.get(chunks[k], 0)
+        new = [k for k in at if out[k] == 0]
+        for k, x in zip(new, self.align([chunks[k] for k in new]) if new else [], strict=True):
+            out[k] = x
+        self.cache.update((chunks[k], out[k]) for k in at if len(chunks[k]) <= KEPT)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -165,14 +172,17 @@ class _Doc:
 
 def _add(al: Aligner, docs: list[tuple[_Doc, list[str]]]) -> None:
     """Adds the chunks of each document to it."""
-    table = al.lookup(set().union(*(c for _, c in docs)))
-    number = {c: k for k, c in enumerate(table)}
-    parts = [table[c] or (0, 0, 0, "", b"") for c in number]
-    bad = np.array([table[c] is None for c in number], bool)
+    distinct = list(dict.fromkeys(chain.from_iterable(c for _, c in docs)))
+    number = dict(zip(distinct, range(len(distinct)), strict=True))
+    parts = al.lookup(distinct)
+    bad = np.array([x is None for x in parts], bool)
+    parts = [x or (0, 0, 0, "", b"") for x in parts]
+    groups = [p[3] for p in parts]
     counts = np.array([(p[0], p[1], p[2], len(p[4]) // 4) for p in parts], np.int64).reshape(-1, 4)
     flat = np.frombuffer(b"".join([p[4] for p in parts]), "<i4").astype(np.int64)
     begin = np.cumsum(counts[:, 3]) - counts[:, 3]
-    which = [np.array([number[c] for c in chunks], np.int64) for _, chunks in docs]
+    listed = [list(map(number.__getitem__, chunks)) for _, chunks in docs]
+    which = [np.array(x, np.int64) for x in listed]
     index = np.concatenate(which)
     size = counts[index, 3]
     end = np.cumsum(size)
@@ -187,7 +197,7 @@ def _add(al: Aligner, docs: list[tuple[_Doc, list[str]]]) -> None:
         if not doc.ok:
             continue
         doc.n = [x + int(y) for x, y in zip(doc.n, counts[which[k]].sum(axis=0), strict=True)]
-        doc.hash.update(("" if doc.first else ";").encode() + ";".join([table[c][3] for c in chunks]).encode())
+        doc.hash.update(("" if doc.first else ";").encode() + ";".join(map(groups.__getitem__, listed[k])).encode())
         doc.first = False
         pairs, n = keys[edge[k]:edge[k + 1]] & ((1 << 31) - 1), times[edge[k]:edge[k + 1]]
         if len(doc.pairs):
@@ -223,7 +233,7 @@ def encoded(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     names = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "same", "same_n", "pair", "pair_n"]
     ints = pa.list_(pa.int32())
 
-    def run(batches):
+    def blocks(batches):
         al = aligner(a_path, b_path)
         for batch in batches:
             texts = batch.column(2)
@@ -249,6 +259,13 @@ def encoded(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 lo = hi
 
+    def run(batches):
+        gc.disable()  # millions of small tuples without cycles
+        try:
+            yield from blocks(batches)
+        finally:
+            gc.enable()
+
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(lean(run), f"row long, doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
