@@ -784,15 +784,19 @@ REGISTRY["geocode_requests"] = Query("geocode_requests", REGISTRY["geocode_reque
                                      REGISTRY["geocode_requests"].doc)
 
 
-def _lloyd_sql(iters: int) -> str:
-    ctes = [f"""
+_LLOYD_POINTS = """
 pts AS (SELECT city_slug, row_id, latitude, longitude FROM listings WHERE latitude IS NOT NULL AND longitude IS NOT NULL),
 sizes AS (SELECT p.city_slug, count(*) AS n, m.n_clusters AS hint FROM pts p JOIN markets m USING (city_slug)
           GROUP BY p.city_slug, m.n_clusters),
 kt AS (SELECT city_slug, n, CASE WHEN n < 6 THEN 0 ELSE least(hint, n) END AS k FROM sizes),
+"""
+
+
+def _lloyd_sql(iters: int, points: str = _LLOYD_POINTS, order: str = "latitude, longitude, row_id") -> str:
+    ctes = [points.rstrip() + f"""
 seeds AS (SELECT kt.city_slug, CAST(i AS INTEGER) AS cluster_id, CAST(floor((2 * i + 1) * kt.n / (2 * kt.k)) AS BIGINT) AS pos
           FROM kt, (SELECT unnest(range(0, (SELECT max(k) FROM kt))) AS i) r WHERE i < kt.k),
-ordered AS (SELECT *, row_number() OVER (PARTITION BY city_slug ORDER BY latitude, longitude, row_id) - 1 AS pos FROM pts),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY city_slug ORDER BY {order}) - 1 AS pos FROM pts),
 c0 AS (SELECT s.city_slug, s.cluster_id, o.latitude, o.longitude FROM seeds s JOIN ordered o USING (city_slug, pos))"""]
     for i in range(1, iters + 1):
         ctes.append(f"""
@@ -829,8 +833,8 @@ def q_kmeans_fixed(spark, sf):
         "city_slug", "cluster_id", r9("latitude"), r9("longitude"), F.coalesce("_n", F.lit(0)).alias("listings"))
 
 
-def _silhouette_sql(iters: int) -> str:
-    base = _lloyd_sql(iters)
+def _silhouette_sql(iters: int, base: str | None = None, root: str = "") -> str:
+    base = base or _lloyd_sql(iters)
     head = base[: base.rindex("\nSELECT c.city_slug")]
     return head + f""",
 asg AS (SELECT city_slug, row_id, latitude, longitude, cluster_id FROM (
@@ -840,7 +844,7 @@ asg AS (SELECT city_slug, row_id, latitude, longitude, cluster_id FROM (
     FROM pts p JOIN c{iters} c USING (city_slug)) t WHERE rn = 1),
 csize AS (SELECT city_slug, cluster_id, count(*) AS n FROM asg GROUP BY 1, 2),
 pairs AS (SELECT i.city_slug, i.row_id, i.cluster_id AS ci, j.cluster_id AS cj,
-                 sum((i.latitude - j.latitude) * (i.latitude - j.latitude) + (i.longitude - j.longitude) * (i.longitude - j.longitude)) AS d
+                 sum({root}((i.latitude - j.latitude) * (i.latitude - j.latitude) + (i.longitude - j.longitude) * (i.longitude - j.longitude))) AS d
           FROM asg i JOIN asg j ON i.city_slug = j.city_slug GROUP BY 1, 2, 3, 4),
 per AS (SELECT p.city_slug, p.row_id,
                max(CASE WHEN p.ci = p.cj AND s.n > 1 THEN p.d / (s.n - 1) END) AS a,
@@ -860,3 +864,68 @@ def q_kmeans_silhouette(spark, sf):
     kt = km.k_bounds(pts, td.markets(spark, sf), table_job=False).select("city_slug", F.col("fixed_k").alias("k"))
     cents = km.lloyd(pts, kt, max_iter=FIXED_LLOYD_ITER, tol=-1.0)
     return km.silhouette(pts, cents).withColumn("silhouette", F.round("silhouette", 6))
+
+
+# ------------------------------------------------- restarts and the k sweep, from starts that SQL can place too
+from ..ml import kmeans_sets as kms  # noqa: E402
+
+#: orders of the two fixed restarts, and the ks of the fixed sweep
+RESTART_ORDERS = [["latitude", "longitude", "row_id"], ["longitude", "latitude", "row_id"]]
+SWEEP_KS = (3, 4, 5)
+
+
+def _models_sql(models: str, k: str) -> str:
+    """Every market once per model r, as a market of its own; ``k`` may use n, hint and r."""
+    return f"""
+pts AS (SELECT city_slug || '#' || CAST(r AS VARCHAR) AS city_slug, r, row_id, latitude, longitude
+        FROM listings, (VALUES {models}) AS t(r) WHERE latitude IS NOT NULL AND longitude IS NOT NULL),
+sizes AS (SELECT p.city_slug, p.r, count(*) AS n, m.n_clusters AS hint FROM pts p JOIN markets m ON m.city_slug = split_part(p.city_slug, '#', 1)
+          GROUP BY p.city_slug, p.r, m.n_clusters),
+kt AS (SELECT city_slug, n, CASE WHEN n < 6 THEN 0 ELSE {k} END AS k FROM sizes),
+"""
+
+
+def _restarts_sql() -> str:
+    base = _lloyd_sql(FIXED_LLOYD_ITER, _models_sql("(0), (1)", "least(hint, n)"),
+                      "CASE WHEN r = 0 THEN latitude ELSE longitude END, CASE WHEN r = 0 THEN longitude ELSE latitude END, row_id")
+    c = f"c{FIXED_LLOYD_ITER}"
+    return base[: base.rindex("\nSELECT c.city_slug")] + f""",
+cost AS (SELECT city_slug, sum(d) AS cost FROM (
+    SELECT p.city_slug, p.row_id, min((p.latitude - c.latitude) * (p.latitude - c.latitude) + (p.longitude - c.longitude) * (p.longitude - c.longitude)) AS d
+    FROM pts p JOIN {c} c USING (city_slug) GROUP BY 1, 2) t GROUP BY 1),
+won AS (SELECT split_part(city_slug, '#', 1) AS market, arg_min(city_slug, cost) AS city_slug FROM cost GROUP BY 1)
+SELECT w.market AS city_slug, CAST(split_part(c.city_slug, '#', 2) AS INTEGER) AS restart, round(s.cost, 6) AS cost, c.cluster_id,
+       round(c.latitude, 9) AS latitude, round(c.longitude, 9) AS longitude
+FROM won w JOIN {c} c ON c.city_slug = w.city_slug JOIN cost s ON s.city_slug = w.city_slug"""
+
+
+def _sweep_sql() -> str:
+    base = _lloyd_sql(FIXED_LLOYD_ITER, _models_sql(", ".join(f"({k})" for k in SWEEP_KS), "r"))
+    return f"""WITH score AS ({_silhouette_sql(FIXED_LLOYD_ITER, base, "sqrt")}),
+best AS (SELECT split_part(city_slug, '#', 1) AS market, arg_max(city_slug, silhouette) AS city_slug FROM score GROUP BY 1)
+SELECT split_part(s.city_slug, '#', 1) AS city_slug, CAST(split_part(s.city_slug, '#', 2) AS INTEGER) AS k, s.silhouette,
+       s.city_slug = b.city_slug AS chosen
+FROM score s JOIN best b ON b.market = split_part(s.city_slug, '#', 1)"""
+
+
+def _even_sets(spark: SparkSession, sf: str, ks, orders) -> tuple[DataFrame, kms.Sets]:
+    pts = kms.keep_points(listings(spark, sf))
+    rows = km.k_bounds(pts, td.markets(spark, sf), table_job=False).collect()  # the market config
+    starts = kms.even_starts(pts, {r.city_slug: ks(r) for r in rows}, orders)
+    return pts, kms.improve(pts, starts, FIXED_LLOYD_ITER, rel_tol=None)
+
+
+@register("kmeans_restarts", _restarts_sql())
+def q_kmeans_restarts(spark, sf):
+    """The cheaper of two restarts per market, after a fixed number of Lloyd steps from evenly spaced starts."""
+    _, sets = _even_sets(spark, sf, lambda r: [r.fixed_k] * (r.fixed_k > 0), RESTART_ORDERS)
+    return kms.frame(spark, kms.lowest(sets)).select("city_slug", "restart", F.round("cost", 6).alias("cost"), "cluster_id", r9("latitude"), r9("longitude"))
+
+
+@register("silhouette_sweep", _sweep_sql())
+def q_silhouette_sweep(spark, sf):
+    """Plain Euclidean silhouette over all pairs of a market for each k of a sweep, and the k that it chooses."""
+    pts, sets = _even_sets(spark, sf, lambda r: list(SWEEP_KS) if r.fixed_k > 0 else [], RESTART_ORDERS[:1])
+    scores = kms.silhouettes(pts, sets)
+    best = scores.groupBy("city_slug").agg(F.max_by("k", F.struct("silhouette", -F.col("k"))).alias("_k"))
+    return scores.join(best, "city_slug").select("city_slug", "k", F.round("silhouette", 6).alias("silhouette"), (F.col("k") == F.col("_k")).alias("chosen"))
