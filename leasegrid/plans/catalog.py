@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.geo import haversine_sql
 from ..operators import clean, comps, geo, rents
+from ..operators import geocode as gc
 from ..session import prepare_session
 from ..sources import testdata as td
+from .geocode_sql import SQL_GEOCODED, SQL_VARIANTS
 from .oracle_views import normalize_type_sql, with_views
 
 
@@ -259,26 +261,26 @@ def r9(c: str) -> F.Column:
 
 
 def requests_located(spark: SparkSession, sf: str) -> DataFrame:
-    """Requests with coordinates, assigned to a market."""
-    req = td.raw_requests(spark, sf).filter(F.col("latitude").isNotNull())
+    """All requests, those without coordinates geocoded first, assigned to a market."""
+    req = gc.geocode(td.raw_requests(spark, sf), gc.build_gazetteer(listings(spark, sf)))
     return geo.detect_market(req, td.markets(spark, sf))
 
 
-SQL_DETECT = f"""
+SQL_DETECT = SQL_GEOCODED + f""",
 located AS (
   SELECT request_id, city_slug, distance_from_center_mi FROM (
     SELECT q.request_id, m.city_slug, {haversine_sql('q.latitude', 'q.longitude', 'm.center_lat', 'm.center_lon')} AS distance_from_center_mi,
            row_number() OVER (PARTITION BY q.request_id ORDER BY {haversine_sql('q.latitude', 'q.longitude', 'm.center_lat', 'm.center_lon')}, m.market_ord) AS rn
-    FROM raw_requests q JOIN markets m
+    FROM geo_requests q JOIN markets m
       ON {haversine_sql('q.latitude', 'q.longitude', 'm.center_lat', 'm.center_lon')} < m.radius_miles
-    WHERE q.latitude IS NOT NULL) t WHERE rn = 1)"""
+    ) t WHERE rn = 1)"""
 
 
-@register("detect_market", with_views("markets", "raw_requests") + "," + SQL_DETECT + """
+@register("detect_market", with_views("listings", "markets", "raw_requests") + "," + SQL_DETECT + """
 SELECT q.request_id, l.city_slug, round(l.distance_from_center_mi, 6) AS distance_from_center_mi
-FROM raw_requests q LEFT JOIN located l USING (request_id) WHERE q.latitude IS NOT NULL""")
+FROM geo_requests q LEFT JOIN located l USING (request_id)""")
 def q_detect_market(spark, sf):
-    """Nearest market within its own radius for every request with coordinates."""
+    """Nearest market within its own radius for every request; NULL without one."""
     return requests_located(spark, sf).select("request_id", "city_slug", r6("distance_from_center_mi").alias("distance_from_center_mi"))
 
 
@@ -287,7 +289,7 @@ SELECT request_id, city_slug, COALESCE(cid, 0) AS cluster_id FROM (
   SELECT l.request_id, l.city_slug, c.cluster_id AS cid,
          row_number() OVER (PARTITION BY l.request_id ORDER BY (q.latitude - c.latitude) * (q.latitude - c.latitude)
                             + (q.longitude - c.longitude) * (q.longitude - c.longitude), c.cluster_id) AS rn
-  FROM located l JOIN raw_requests q USING (request_id) LEFT JOIN centroids c ON c.city_slug = l.city_slug) t
+  FROM located l JOIN geo_requests q USING (request_id) LEFT JOIN centroids c ON c.city_slug = l.city_slug) t
 WHERE rn = 1""")
 def q_nearest_cluster(spark, sf):
     """Nearest cluster centroid (squared degrees) of the request's market."""
@@ -297,7 +299,6 @@ def q_nearest_cluster(spark, sf):
 
 
 # ============================================================== requests
-from ..operators import geocode as gc  # noqa: E402
 from ..operators import requests as rq  # noqa: E402
 
 
@@ -346,10 +347,12 @@ TEST_POOLED = ("m11", "m12")
 
 
 def comps_requests(spark: SparkSession, sf: str, processed: DataFrame | None = None) -> DataFrame:
-    """Valid requests with coordinates, their market, cluster and mode columns."""
+    """Valid requests, geocoded where they lack coordinates, with their market, cluster and mode columns;
+    requests outside all markets have no comparables."""
     processed = processed if processed is not None else processed_listings(spark, sf)
-    v = rq.validate_requests(td.raw_requests(spark, sf)).filter(F.col("error").isNull() & F.col("latitude").isNotNull())
-    located = geo.detect_market(v, td.markets(spark, sf)).filter(F.col("city_slug").isNotNull())
+    v = rq.validate_requests(td.raw_requests(spark, sf)).filter(F.col("error").isNull())
+    placed = gc.geocode(v, gc.build_gazetteer(listings(spark, sf)))
+    located = geo.detect_market(placed, td.markets(spark, sf)).filter(F.col("city_slug").isNotNull())
     cents = geo.cluster_centroids(processed)
     withc = geo.nearest_cluster(located, cents)
     return rq.resolve_mode(withc, TEST_COMPS_FIRST, TEST_POOLED)
@@ -366,8 +369,9 @@ def comps_result(spark: SparkSession, sf: str) -> DataFrame:
     return comps.comparable_listings(comps_requests(spark, sf, processed), comps_pool(spark, sf, processed))
 
 
-SQL_COMPS = with_processed("markets", "raw_requests") + "," + SQL_CENTROIDS + "," + SQL_VALIDATED + f""",
-vloc AS (SELECT * FROM validated WHERE error IS NULL AND latitude IS NOT NULL),
+SQL_COMPS = with_processed("markets", "raw_requests") + "," + SQL_CENTROIDS + "," + SQL_GEOCODED + "," + SQL_VALIDATED + f""",
+vloc AS (SELECT v.* EXCLUDE (latitude, longitude), g.latitude, g.longitude
+         FROM validated v JOIN geo_requests g USING (request_id) WHERE v.error IS NULL),
 located2 AS (
   SELECT request_id, city_slug FROM (
     SELECT q.request_id, m.city_slug,
@@ -668,14 +672,15 @@ def q_estimate(spark, sf):
                          TEST_COMPS_FIRST, TEST_POOLED, pooled)
 
 
-@register("geocode_requests", None)
+@register("geocode_requests", with_views("listings", "raw_requests") + ",\n" + SQL_GEOCODED + """
+SELECT request_id, address, latitude, longitude, geocoded FROM geo_requests""")
 def q_geocode_requests(spark, sf):
-    """Coordinates for requests without them: first address variant found in the gazetteer."""
-    req = td.raw_requests(spark, sf).filter(F.col("latitude").isNull())
-    return gc.geocode(req, gc.build_gazetteer(listings(spark, sf))).select("request_id", "address", "latitude", "longitude", "geocoded")
+    """Every request, missing coordinates filled from the first address variant found in the gazetteer."""
+    return gc.geocode(td.raw_requests(spark, sf), gc.build_gazetteer(listings(spark, sf))).select("request_id", "address", "latitude", "longitude", "geocoded")
 
 
-@register("address_variants", None)
+@register("address_variants", with_views("raw_requests") + ",\n" + SQL_VARIANTS + """
+SELECT request_id, pos, variant FROM variants""")
 def q_address_variants(spark, sf):
     """Ordered address spellings tried per request."""
     req = td.raw_requests(spark, sf)
@@ -709,81 +714,6 @@ def q_comps_cv_metrics(spark, sf):
     return m.withColumn("rmse", r6("rmse"))
 
 
-def _sq(s: str) -> str:
-    return s.replace("'", "''")
-
-
-def _squash_sql(x: str) -> str:
-    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
-
-
-def _nonempty_sql(x: str) -> str:
-    return f"nullif({x}, '')"
-
-
-def _variants_sql(extra_views: tuple[str, ...] = (), final: bool = True) -> str:
-    a = "address"
-    exp = a
-    for p, r in gc.ABBREVIATIONS:
-        exp = f"regexp_replace({exp}, '{_sq(p)}', '{r}', 'gi')"
-    def states(x):
-        for p, r in gc.STATE_NAMES:
-            x = f"regexp_replace({x}, '{_sq(p)}', '{r}', 'gi')"
-        return x
-    st = states(a)
-    both = states("_exp")
-    nz = f"rtrim(trim(regexp_replace({a}, '{_sq(gc.ZIP_PATTERN)}', '', 'g')), ',')"
-    suffixes = "[" + ", ".join(f"'{s}'" for s in gc.STREET_SUFFIXES) + "]"
-    toks = f"string_split_regex(trim(regexp_replace({a}, '[.,]', '', 'g')), '\\s+')"
-    cp = _sq(gc.COMMA_PATTERN)
-    scp = _sq(gc.STATE_COMMA_PATTERN)
-    pattern_form = (f"CASE WHEN regexp_matches(x, '{cp}', 'i') THEN "
-                    + _nonempty_sql(_squash_sql(f"regexp_extract(x, '{cp}', 1, 'i') || ', ' || regexp_extract(x, '{cp}', 2, 'i') || ', ' || regexp_extract(x, '{cp}', 3, 'i')"))
-                    + " END")
-    state_form = (f"CASE WHEN regexp_replace(x, '{scp}', ', \\1', 'gi') <> x THEN "
-                  + _nonempty_sql(_squash_sql(f"regexp_replace(x, '{scp}', ', \\1', 'gi')")) + " END")
-    tail = (f"[{_nonempty_sql(_squash_sql(f'regexp_replace({a}, {chr(39)}[.,]{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})'))}, "
-            f"{_squash_sql(f'regexp_replace({a}, {chr(39)}{_sq(gc.SUFFIX_PATTERN)}{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}gi{chr(39)})')}]")
-    return with_views("raw_requests", *extra_views) + f""",
-s0 AS (SELECT request_id, {a}, {exp} AS _exp, {toks} AS _tok FROM raw_requests),
-s1 AS (SELECT *, list_filter(range(3, len(_tok)), lambda i: list_contains({suffixes}, lower(_tok[i + 1])))[1] AS _idx FROM s0),
-s2 AS (SELECT *, CASE WHEN _idx IS NULL THEN NULL ELSE
-                   array_to_string(list_concat(_tok[1:_idx - 2], [_tok[_idx - 1] || _tok[_idx]], _tok[_idx + 1:]), ' ') END AS _merged
-       FROM s1),
-s3 AS (SELECT request_id, {a}, list_filter([{a}, {_nonempty_sql(_squash_sql('_merged'))},
-                  CASE WHEN _exp <> {a} THEN _exp END, CASE WHEN {st} <> {a} THEN {st} END,
-                  {both}, CASE WHEN {nz} <> {a} THEN {nz} END], lambda x: x IS NOT NULL) AS _h FROM s2),
-s4 AS (SELECT request_id, {a}, list_filter(_h, lambda x, i: list_position(_h, x) = i) AS _snap FROM s3),
-s5 AS (SELECT request_id, list_filter(list_concat(_snap,
-                  flatten(list_transform(_snap, lambda x: CASE WHEN contains(x, ',') THEN []::VARCHAR[]
-                                                         ELSE [{pattern_form}, {state_form}] END)),
-                  {tail}), lambda x: x IS NOT NULL) AS _all FROM s4),
-s6 AS (SELECT request_id, list_filter(_all, lambda x, i: list_position(_all, x) = i) AS v FROM s5),
-variants AS (SELECT request_id, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS pos, unnest(v) AS variant FROM s6)""" + (
-        "\nSELECT request_id, pos, variant FROM variants" if final else "")
-
-
-def _geocode_sql() -> str:
-    exp = "address"
-    for p, r in gc.ABBREVIATIONS:
-        exp = f"regexp_replace({exp}, '{_sq(p)}', '{r}', 'gi')"
-    return _variants_sql(("listings",), final=False) + f""",
-gaz AS (SELECT lower({_squash_sql(exp)}) AS k, arg_min(latitude, row_id) AS g_lat, arg_min(longitude, row_id) AS g_lon
-        FROM listings WHERE address IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY 1),
-hits AS (SELECT t.request_id, arg_min(g.g_lat, t.pos) AS g_lat, arg_min(g.g_lon, t.pos) AS g_lon
-         FROM (SELECT request_id, pos, lower({_squash_sql('variant')}) AS k FROM variants) t JOIN gaz g USING (k)
-         GROUP BY t.request_id)
-SELECT r.request_id, r.address, COALESCE(r.latitude, h.g_lat) AS latitude, COALESCE(r.longitude, h.g_lon) AS longitude,
-       h.request_id IS NOT NULL AS geocoded
-FROM raw_requests r LEFT JOIN hits h USING (request_id) WHERE r.latitude IS NULL"""
-
-
-REGISTRY["address_variants"] = Query("address_variants", REGISTRY["address_variants"].run, _variants_sql(),
-                                     REGISTRY["address_variants"].doc)
-REGISTRY["geocode_requests"] = Query("geocode_requests", REGISTRY["geocode_requests"].run, _geocode_sql(),
-                                     REGISTRY["geocode_requests"].doc)
-
-
 _LLOYD_POINTS = """
 pts AS (SELECT city_slug, row_id, latitude, longitude FROM listings WHERE latitude IS NOT NULL AND longitude IS NOT NULL),
 sizes AS (SELECT p.city_slug, count(*) AS n, m.n_clusters AS hint FROM pts p JOIN markets m USING (city_slug)
