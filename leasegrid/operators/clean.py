@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.text import clean_money, normalize_property_type, to_double
+from ..functions.text import clean_money, normalize_property_type, null_if_marker, to_double
 from .common import broadcast_checked, is_string
 from .stats import ordinal_within
 
@@ -23,10 +23,11 @@ NUMERIC_COLUMNS = ["price", "beds", "baths", "sqft", "latitude", "longitude", "y
 def standardize_listings(df: DataFrame) -> DataFrame:
     """Missing markers -> NULL, numeric coercion, currency text, type spelling.
 
-    ``price_raw`` (text such as ``$1,234.00``) becomes ``price``; string
-    numeric columns are coerced leniently; ``property_type_raw`` is normalised.
+    ``"N/A"`` and ``""`` become NULL in every text column; ``price_raw`` (text such as
+    ``$1,234.00``) becomes ``price``; string numeric columns are coerced leniently;
+    ``property_type_raw`` is normalised.
     """
-    out = df
+    out = df.withColumns({c: null_if_marker(c) for c in df.columns if is_string(df, c)})
     if "price_raw" in out.columns:
         out = out.withColumn("price", clean_money("price_raw")).drop("price_raw")
     casts = {}

@@ -181,6 +181,11 @@ def map_layer(clusters: DataFrame) -> DataFrame:
     )
 
 
+def map_legend(layer: DataFrame) -> DataFrame:
+    """Legend entries of a map layer, the largest cluster first (market and cluster order on ties)."""
+    return layer.select("city_slug", "cluster_id", "name", "count").orderBy(F.col("count").desc(), "city_slug", "cluster_id")
+
+
 def map_extent(listings: DataFrame) -> DataFrame:
     """Mean of all coordinates across markets and the total listing count."""
     return listings.agg(

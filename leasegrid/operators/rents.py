@@ -70,3 +70,24 @@ def avg_rent_pivot(rows: DataFrame) -> DataFrame:
         .agg(F.first(F.struct("avg_price", "listings")))
         .orderBy("city", property_type_rank("property_type"), "property_type")
     )
+
+
+def avg_rent_tables(rows: DataFrame) -> DataFrame:
+    """One row per city: its property types in display order, its bed labels in numeric order, and ``cells``,
+    a map of property type to a map of bed label to (avg_price, listings).
+
+    The bed labels stay data, so no pass reads them first; a city holds a few types times a few bed counts."""
+    cell = F.struct("beds_value", "beds", F.struct("avg_price", "listings").alias("cell"))
+    per_type = rows.filter(F.col("beds").isNotNull()).groupBy("city", "city_slug", "property_type").agg(F.sort_array(F.collect_list(cell)).alias("_c"))
+    labelled = F.map_from_entries(F.transform("_c", lambda c: F.struct(c["beds"], c["cell"])))
+    entry = F.struct(property_type_rank("property_type").alias("rank"), "property_type", labelled.alias("cells"),
+                     F.transform("_c", lambda c: F.struct(c["beds_value"], c["beds"])).alias("beds"))
+    # entries hold maps, which have no order: the types are sorted by their own columns
+    per_city = per_type.select("city", "city_slug", entry.alias("e")).groupBy("city", "city_slug").agg(F.collect_list("e").alias("_e"))
+    ordered = F.array_sort("_e", lambda a, b: F.when((a["rank"] < b["rank"]) | ((a["rank"] == b["rank"]) & (a["property_type"] < b["property_type"])), -1)
+                           .when((a["rank"] == b["rank"]) & (a["property_type"] == b["property_type"]), 0).otherwise(1))
+    beds = F.array_sort(F.array_distinct(F.flatten(F.transform("_e", lambda e: e["beds"]))))
+    return per_city.select(
+        "city", "city_slug", F.transform(ordered, lambda e: e["property_type"]).alias("property_types"),
+        F.transform(beds, lambda b: b["beds"]).alias("beds"),
+        F.map_from_entries(F.transform(ordered, lambda e: F.struct(e["property_type"], e["cells"]))).alias("cells"))

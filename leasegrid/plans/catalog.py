@@ -859,3 +859,94 @@ def q_silhouette_sweep(spark, sf):
     scores = kms.silhouettes(pts, sets)
     best = scores.groupBy("city_slug").agg(F.max_by("k", F.struct("silhouette", -F.col("k"))).alias("_k"))
     return scores.join(best, "city_slug").select("city_slug", "k", F.round("silhouette", 6).alias("silhouette"), (F.col("k") == F.col("_k")).alias("chosen"))
+
+
+# ------------------------------------------------- ingest safety: rejected pages and lines, audits, incomplete markets
+import uuid  # noqa: E402
+
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources import quarantine as qu  # noqa: E402
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+SQL_PAGE_REASON = """CASE WHEN page % 11 = 3 THEN 'not JSON' WHEN page % 13 = 5 THEN 'empty file' WHEN page % 17 = 7 THEN 'neither a list nor an object'
+     WHEN page % 19 = 9 THEN 'listings is not a list' WHEN page % 23 = 11 THEN 'an item is not an object' END"""
+SQL_LANDED = f"""
+items AS (SELECT 'm' || CAST(o_custkey % 25 AS VARCHAR) AS city_slug, CAST(floor(o_orderkey / 500) + 1 AS INTEGER) AS page, o_orderkey FROM orders),
+judged AS (SELECT *, {SQL_PAGE_REASON} AS reason FROM items)"""
+
+
+@register("rejected_pages", "WITH" + SQL_LANDED + """
+SELECT DISTINCT city_slug, page, reason FROM judged WHERE reason IS NOT NULL""")
+def q_rejected_pages(spark, sf):
+    """Landed pages that cannot be read, with the reason."""
+    _, bad = qu.split_pages(td.damaged_pages(spark, sf))
+    return bad.select("city_slug", "page", "reason")
+
+
+@register("ingest_audit", "WITH" + SQL_LANDED + """,
+per AS (SELECT m.city_slug, count(DISTINCT page) AS pages, count(DISTINCT CASE WHEN reason IS NOT NULL THEN page END) AS rejected,
+               count_if(o_orderkey IS NOT NULL AND reason IS NULL) AS listings, count_if(o_orderkey IS NOT NULL AND reason IS NULL) AS located,
+               count_if(reason IS NULL AND o_orderkey % 23 <> 0) AS priced, count_if(reason IS NULL AND o_orderkey % 23 <> 0) AS usable
+        FROM (SELECT 'm' || CAST(n_nationkey AS VARCHAR) AS city_slug FROM nation) m LEFT JOIN judged USING (city_slug) GROUP BY m.city_slug)
+SELECT * FROM per UNION ALL SELECT NULL, sum(pages), sum(rejected), sum(listings), sum(located), sum(priced), sum(usable) FROM per""")
+def q_ingest_audit(spark, sf):
+    """Pages, rejected pages and listings per market and in all, observed by the ingest's own writes."""
+    done = qu.ingest_pages(td.damaged_pages(spark, sf), td.markets(spark, sf), _scratch(spark, "ingest"))
+    return done.audit.select("city_slug", "pages", "rejected", "listings", "located", "priced", "usable")
+
+
+SQL_FILE_LINES = """
+lines AS (SELECT *, CAST(substr(city_slug, 2) AS INTEGER) % 6 = 5 AS skipped, row_id % 53 = 1 OR row_id % 59 = 1 AS ragged FROM raw_listings)"""
+
+
+@register("market_files", with_views("raw_listings") + "," + SQL_FILE_LINES + """
+SELECT city_slug, NOT skipped AS used, CASE WHEN skipped THEN 'Beds' ELSE '' END AS missing,
+       CASE WHEN skipped THEN 0 ELSE count_if(NOT ragged) END AS n_rows, CASE WHEN skipped THEN 0 ELSE count_if(ragged) END AS n_ragged
+FROM lines GROUP BY city_slug, skipped""")
+def q_market_files(spark, sf):
+    """Listing files of all markets: markets left out for missing columns, rows, and lines of the wrong length."""
+    path = _scratch(spark, "files")
+    td.write_listing_files(spark, sf, path)
+    _, _, report = qu.read_market_files(spark, path)
+    return report.withColumn("missing", F.array_join("missing", ","))
+
+
+@register("avg_rents_of_files", REGISTRY["avg_rents"].sql.replace("\n, rows AS", "," + SQL_FILE_LINES + "\n, rows AS", 1)
+          .replace("FROM raw_listings)\nSELECT", "FROM lines WHERE NOT skipped AND NOT ragged)\nSELECT", 1))
+def q_avg_rents_of_files(spark, sf):
+    """Average rents of the listing files of all complete markets."""
+    path = _scratch(spark, "files")
+    td.write_listing_files(spark, sf, path)
+    rows, _, _ = qu.read_market_files(spark, path)
+    return rents.avg_rent_rows(rows.withColumnRenamed("price", "price_raw").withColumnRenamed("property_type", "property_type_raw"), td.markets(spark, sf))
+
+
+_TYPE_RANK_SQL = """COALESCE(CASE property_type WHEN 'Apartment' THEN 0 WHEN 'Condo' THEN 1
+            WHEN 'Townhouse' THEN 2 WHEN 'Single Family' THEN 3 WHEN 'Multi-Family' THEN 4 END, 999)"""
+
+
+@register("avg_rent_tables", REGISTRY["avg_rents"].sql.replace("\nSELECT m.display_name", "\n, agg AS (SELECT m.display_name", 1) + f"""),
+per_type AS (SELECT city, city_slug, property_type, {_TYPE_RANK_SQL} AS rank,
+                    '{{' || string_agg('"' || beds || '":{{"avg_price":' || avg_price || ',"listings":' || listings || '}}', ',' ORDER BY beds_value) || '}}' AS cell
+             FROM agg GROUP BY ALL),
+bed AS (SELECT city, string_agg(beds, '|' ORDER BY beds_value) AS beds FROM (SELECT DISTINCT city, beds, beds_value FROM agg) GROUP BY city)
+SELECT city, city_slug, string_agg(property_type, '|' ORDER BY rank, property_type) AS property_types, any_value(bed.beds) AS beds,
+       '{{' || string_agg('"' || property_type || '":' || cell, ',' ORDER BY rank, property_type) || '}}' AS cells
+FROM per_type JOIN bed USING (city) GROUP BY city, city_slug""")
+def q_avg_rent_tables(spark, sf):
+    """Nested average-rent table of each city: type -> beds -> (average, count)."""
+    t = rents.avg_rent_tables(rents.avg_rent_rows(td.raw_listings(spark, sf), td.markets(spark, sf), ordered=False))
+    return t.select("city", "city_slug", F.array_join("property_types", "|").alias("property_types"), F.array_join("beds", "|").alias("beds"),
+                    F.to_json("cells").alias("cells"))
+
+
+@register("map_legend", with_processed("markets", "places") + "," + SQL_NAMES + """
+SELECT c.city_slug, c.cluster_id, n.name, c.count FROM centroids c JOIN names n USING (city_slug, cluster_id) ORDER BY c.count DESC""")
+def q_map_legend(spark, sf):
+    """Legend of the cluster map, the largest cluster first."""
+    processed = processed_listings(spark, sf)
+    return geo.map_legend(geo.map_layer(geo.cluster_centroids(processed, cluster_names(spark, sf, processed))))

@@ -206,3 +206,37 @@ def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "city_slug", "page",
         F.when(F.col("page") % 2 == 0, F.to_json(F.struct(items.alias("listings")))).otherwise(F.to_json(items)).alias("page_json"),
     )
+
+
+def damaged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``landed_pages`` with some pages damaged in ways that a fetch can damage them."""
+    page, text = F.col("page"), F.col("page_json")
+    return landed_pages(spark, sf_dir).withColumn(
+        "page_json",
+        F.when(page % 11 == 3, F.substring(text, F.lit(1), (F.length(text) / 2).cast("int")))
+        .when(page % 13 == 5, F.lit(""))
+        .when(page % 17 == 7, F.lit('"rate limit exceeded"'))
+        .when(page % 19 == 9, F.lit('{"listings": "none"}'))
+        .when(page % 23 == 11, F.lit('[{"price": "900"}, 17]'))
+        .otherwise(text))
+
+
+# The header of the stand-in listing files; markets of every sixth number lack the beds.
+FILE_HEADER = ["Listing ID", "Address", "City", "Price", "Beds", "Baths", "SqFt", "Latitude", "Longitude", "Property Type"]
+
+
+def write_listing_files(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Listing files per market in CSV form, under ``city_slug=`` folders; some lines have a field too many or too few."""
+    raw = raw_listings(spark, sf_dir)
+    number = F.substring("city_slug", 2, 9).cast("int")
+    columns = ["listing_id", "address", "city", "price_raw", "beds", "baths", "sqft", "latitude", "longitude", "property_type_raw"]
+    rows = raw.select("city_slug", F.col("row_id").alias("_at"),
+                      F.when(number % 6 == 5, F.to_csv(F.struct(*[c for c in columns if c != "beds"])))
+                      .otherwise(F.to_csv(F.struct(*columns))).alias("value"))
+    rows = rows.withColumn("value", F.when(F.col("_at") % 53 == 1, F.concat("value", F.lit(",extra")))
+                           .when(F.col("_at") % 59 == 1, F.lit("1 Main St,Oakville")).otherwise(F.col("value")))
+    head = raw.select("city_slug").distinct().select(
+        "city_slug", F.lit(-1).cast("long").alias("_at"),
+        F.when(number % 6 == 5, ",".join(c for c in FILE_HEADER if c != "Beds")).otherwise(",".join(FILE_HEADER)).alias("value"))
+    rows.unionByName(head).repartition("city_slug").sortWithinPartitions("city_slug", "_at").select("city_slug", "value") \
+        .write.mode("overwrite").partitionBy("city_slug").text(root)
