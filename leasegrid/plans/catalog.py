@@ -7,6 +7,7 @@ Every job reads whole tables; no sampling, id subsets or row caps.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ from ..functions import constants as K
 from ..functions.geo import haversine_sql
 from ..operators import clean, comps, geo, rents
 from ..operators import geocode as gc
-from ..session import prepare_session
+from ..session import ensure_checkpoint_dir, prepare_session
 from ..sources import testdata as td
 from .geocode_sql import SQL_GEOCODED, SQL_VARIANTS
 from .oracle_views import normalize_type_sql, with_views
@@ -46,6 +47,11 @@ def register(name: str, sql: str | None, doc: str = ""):
     return deco
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def r6(c) -> F.Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
@@ -612,6 +618,7 @@ def q_ingest_pages(spark, sf):
 # ============================================================== ML and end-to-end (rows-only checks)
 from ..ml import kmeans as km  # noqa: E402
 from ..ml import models as mlp  # noqa: E402
+from ..sources import stored_runs as sr  # noqa: E402
 from . import jobs  # noqa: E402
 
 # Steps of the queries that report Lloyd's state after a fixed number of iterations
@@ -660,16 +667,60 @@ def q_feature_importance(spark, sf):
 
 @register("estimate", None)
 def q_estimate(spark, sf):
-    """End-to-end price estimates for every request (errors as rows)."""
+    """End-to-end price estimates for every request (errors as rows), from a training that was stored and loaded again."""
     mk = td.markets(spark, sf)
     std = listings(spark, sf)
     processed, clusters = jobs.cluster_and_clean(std, mk, td.places(spark, sf), max_iter=CV_ARGS["cluster_iter"], auto_k=False)
     processed = processed.checkpoint()
+    cv_args = {"cluster_iter": CV_ARGS["cluster_iter"], "auto_k": False, "max_iter": CV_GBT_ROUNDS}
     model, runs = jobs.train(processed, std, mk, gbt_rounds=CV_GBT_ROUNDS, cv_cluster_iter=CV_ARGS["cluster_iter"], auto_k=False)
     pooled = mlp.fit_pooled_single_family(processed, TEST_POOLED, max_iter=CV_GBT_ROUNDS)
-    gaz = gc.build_gazetteer(std)
-    return jobs.estimate(td.raw_requests(spark, sf), processed, clusters, mk, model, runs.checkpoint(), gaz,
-                         TEST_COMPS_FIRST, TEST_POOLED, pooled)
+    pooled_rmse = mlp.pooled_single_family_rmse(std, mk, TEST_POOLED, **cv_args)
+    root = _scratch(spark, "store")
+    sr.store_training(root, model, runs.checkpoint(), mk, clusters, clean.bed_sqft_medians(processed), processed, pooled, pooled_rmse)
+    return sr.estimate_stored(sr.load_serving(spark, root), td.raw_requests(spark, sf), TEST_COMPS_FIRST, TEST_POOLED)
+
+
+SQL_ESTIMATE_FIELDS = SQL_COMPS + f""",
+offered AS (SELECT 'Address is not within any supported city. Available cities: ' || string_agg(display_name, ', ' ORDER BY market_ord) AS refusal FROM markets),
+est AS (SELECT request_id, avg(price) AS a, min(price) AS lo, max(price) AS hi, count(*) AS n FROM comps WHERE price IS NOT NULL GROUP BY request_id),
+listed AS (SELECT request_id, string_agg(row_id_text, ',' ORDER BY rank) AS addresses FROM (SELECT request_id, rank, address AS row_id_text FROM comps) GROUP BY request_id),
+dist AS (SELECT request_id, city_slug, distance_from_center_mi AS d FROM (
+    SELECT v.request_id, m.city_slug, {haversine_sql('v.latitude', 'v.longitude', 'm.center_lat', 'm.center_lon')} AS distance_from_center_mi
+    FROM vloc v JOIN reqc r USING (request_id) JOIN markets m ON m.city_slug = r.city_slug)),
+good AS (SELECT v.request_id, v.prediction_mode, v.comps_k, v.property_type, v.latitude, v.longitude, r.city_slug, r.cluster_id, d.d,
+                (v.prediction_mode = 'auto' AND v.property_type = 'Single Family' AND r.city_slug IN ('{"', '".join(TEST_COMPS_FIRST)}')) AS first_rule, e.a, e.lo, e.hi, e.n
+         FROM vloc v JOIN reqc r USING (request_id) JOIN dist d USING (request_id) LEFT JOIN est e USING (request_id))
+SELECT g.request_id, CASE WHEN prediction_mode = 'comps' AND a IS NULL THEN 'No comparable properties found for comps-average mode. Try model mode.' END AS error,
+       g.city_slug AS city, m.display_name AS city_name, m.state, CAST(comps_k AS DOUBLE) AS comps_k, prediction_mode AS prediction_mode_requested,
+       CASE WHEN (prediction_mode = 'comps' OR first_rule) AND a IS NOT NULL THEN 'comps' ELSE 'model' END AS prediction_mode_used,
+       CASE WHEN a IS NULL THEN 'model' WHEN first_rule THEN 'comps,model' ELSE 'model,comps' END AS prediction_order,
+       'Neighborhood ' || CAST(cluster_id + 1 AS VARCHAR) AS neighborhood,
+       round_even(d, 2) AS distance_from_center_mi, CAST(round_even(a, 0) AS DOUBLE) AS comps_price, CAST(lo AS DOUBLE) AS comps_low,
+       CAST(hi AS DOUBLE) AS comps_high, CAST(n AS DOUBLE) AS comps_count, addresses
+FROM good g JOIN markets m ON m.city_slug = g.city_slug LEFT JOIN listed l USING (request_id)
+UNION ALL
+SELECT v.request_id, COALESCE(v.error, CASE WHEN q.latitude IS NULL THEN 'Could not geocode address' ELSE (SELECT refusal FROM offered) END),
+       NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+FROM validated v JOIN geo_requests q USING (request_id) LEFT JOIN good g USING (request_id) WHERE g.request_id IS NULL"""
+
+
+@register("estimate_fields", SQL_ESTIMATE_FIELDS)
+def q_estimate_fields(spark, sf):
+    """All that an estimate says beside the model's price, for every request: refusals, market, mode, comparables, place."""
+    mk, processed = td.markets(spark, sf), processed_listings(spark, sf)
+    pool = comps_pool(spark, sf, processed).checkpoint()
+    runs = mk.select("city_slug", F.lit("20260101").alias("training_date"), F.lit(None).cast("double").alias("cv_rmse"))
+    model = mlp.fit_price_model(pool, mlp.linear)
+    e = jobs.estimate(td.raw_requests(spark, sf), pool, geo.cluster_centroids(pool), mk, model, runs, gc.build_gazetteer(listings(spark, sf)),
+                      TEST_COMPS_FIRST, TEST_POOLED)
+    c = F.col("comps_prediction")
+    return e.select(
+        "request_id", "error", "city", "city_name", "state", F.col("comps_k").cast("double"), "prediction_mode_requested", "prediction_mode_used",
+        F.array_join("prediction_order", ",").alias("prediction_order"), "neighborhood", "distance_from_center_mi",
+        c["price"].cast("double").alias("comps_price"), c["price_range"]["low"].cast("double").alias("comps_low"),
+        c["price_range"]["high"].cast("double").alias("comps_high"), c["count"].cast("double").alias("comps_count"),
+        F.array_join(F.transform("comparable_properties", lambda x: x["address"]), ",").alias("addresses"))
 
 
 @register("geocode_requests", with_views("listings", "raw_requests") + ",\n" + SQL_GEOCODED + """
@@ -862,16 +913,9 @@ def q_silhouette_sweep(spark, sf):
 
 
 # ------------------------------------------------- ingest safety: rejected pages and lines, audits, incomplete markets
-import uuid  # noqa: E402
-
-from ..session import ensure_checkpoint_dir  # noqa: E402
 from ..sources import quarantine as qu  # noqa: E402
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 SQL_PAGE_REASON = """CASE WHEN page % 11 = 3 THEN 'not JSON' WHEN page % 13 = 5 THEN 'empty file' WHEN page % 17 = 7 THEN 'neither a list nor an object'
      WHEN page % 19 = 9 THEN 'listings is not a list' WHEN page % 23 = 11 THEN 'an item is not an object' END"""
 SQL_LANDED = f"""

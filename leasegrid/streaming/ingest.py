@@ -22,6 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.clean import dedupe_key
 from ..sources.listings import flatten_items, page_rows, parse_pages
+from ..sources.stored_runs import Serving, estimate_stored, load_serving, newest_version
 
 
 # Stored keys lie in this many folders, so a micro-batch reads only those its own keys fall into.
@@ -88,6 +89,24 @@ def start_request_scoring(spark: SparkSession, request_dir: str, schema: str, ou
     return w.start()
 
 
+def start_estimate_stream(spark: SparkSession, request_dir: str, schema: str, out_dir: str, checkpoint_dir: str, store: str,
+                          available_now: bool = True, **modes) -> StreamingQuery:
+    """STR2 with the stored training: every epoch looks up the newest version, reloads its static sides only when
+    it changed, and answers with that version named in each row. ``modes``: comps_first and pooled markets."""
+    held: dict[str, Serving] = {}
+
+    def score(batch: DataFrame) -> DataFrame:
+        version = newest_version(spark, store)
+        if version is None:
+            raise ValueError(f"no stored training under {store}")
+        if version not in held:
+            held.clear()
+            held[version] = load_serving(spark, store, version)
+        return estimate_stored(held[version], batch, **modes).withColumn("version", F.lit(version))
+
+    return start_request_scoring(spark, request_dir, schema, out_dir, checkpoint_dir, score, available_now)
+
+
 def land_pages(pages: DataFrame, landing_dir: str) -> None:
     """Write one JSON page per file under city_slug=/page= folders (test helper
     and replay tool for archived pages)."""
