@@ -15,7 +15,9 @@ their distinct word n-grams, exactly and over all documents:
    label, so that large groups of near-copies need no further comparison among themselves.
 5. The entries of an n-gram that still holds several labels form tiles of bounded size, sorted by set
    size so that only a band is compared: first by coarse signatures, then by fine ones, and the
-   pairs left are intersected exactly.
+   pairs left are intersected exactly. As long as that joins labels, an entry only offers the nearest
+   one of another label in its tile, so that a group of g near copies costs g pairs and not g * g; the
+   last pass compares all that still differ.
 
 Null and empty texts have no n-grams (size 0) and link with nothing. A text of fewer words than n
 is one n-gram. Rows that share a doc_id count as one document with several texts; rows with a null
@@ -35,12 +37,16 @@ from pyspark.sql import functions as F
 
 from . import wordhash as wh
 from .components import components
-from .shared import bounded_batches, lean, row_blocks, small, stored, text_bytes
+from .shared import bounded_batches, free, lean, row_blocks, small, stored, text_bytes
 
 SKETCH_BITS = 21
 #: entries on each side of a tile compared in one task
 TILE = 4096
 TILE_KEY = ["token", "i", "j"]
+#: entries of an n-gram up to which tiles compare coarse signatures
+FEW = 8
+#: passes by nearest partners go on while they join one label of so many
+REST = 1000
 #: smallest and largest signature, in bits
 MIN_BITS, MAX_BITS = 512, 1 << 17
 
@@ -194,9 +200,10 @@ def _plausible(pairs: DataFrame, reps: DataFrame, limit: float) -> DataFrame:
     return joined.mapInArrow(lean(bound), "a long, b long").distinct()
 
 
-def _tile_pairs(entries: DataFrame, limit: float) -> DataFrame:
+def _tile_pairs(entries: DataFrame, limit: float, nearest: bool = False) -> DataFrame:
     """(a, b): representatives of different labels in one tile whose sizes and coarse signatures leave
-    room for a distance of ``limit``. Entries are (token, count, rep, label, n, bits), count the token's."""
+    room for a distance of ``limit``; with ``nearest`` only each entry's nearest such partner in its tile.
+    Entries are (token, count, rep, label, n, bits), count the token's."""
     e = (entries.withColumn("k", F.expr(f"cast(ceil(count / {TILE}) as int)"))
          .withColumn("part", F.expr("cast(pmod(xxhash64(rep), k) as int)"))
          .withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
@@ -210,16 +217,16 @@ def _tile_pairs(entries: DataFrame, limit: float) -> DataFrame:
             key = np.stack([t.column(c).to_numpy() for c in TILE_KEY])
             cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
             last = int(cuts[-1]) if len(cuts) else 0
-            yield from _tile_out(t.slice(0, last), limit)
+            yield from _tile_out(t.slice(0, last), limit, nearest)
             held = t.slice(last)
         if held is not None:
-            yield from _tile_out(held, limit)
+            yield from _tile_out(held, limit, nearest)
 
     return (e.repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY, "n")
             .mapInArrow(lean(tile), "a long, b long").distinct())
 
 
-def _tile_out(t: pa.Table, limit: float) -> Iterator[pa.RecordBatch]:
+def _tile_out(t: pa.Table, limit: float, nearest: bool = False) -> Iterator[pa.RecordBatch]:
     """Pairs of whole tiles, sorted by tile and size. All entries meet their next neighbour, then the
     one after it, and so on; an entry stops at its tile's end or where sizes leave the band."""
     if t.num_rows < 2:
@@ -236,6 +243,7 @@ def _tile_out(t: pa.Table, limit: float) -> Iterator[pa.RecordBatch]:
         own[w] = np.stack([data[k] for k in at])
         half[w] = fold(own[w], w // 2) if w > 1 else own[w]
     top, left, right = n / (1 - limit) + 1e-9, [], []
+    best, partner = np.full(len(n), np.inf), np.full(len(n), -1)
     x, step = np.arange(len(n)), 0
     while True:
         step += 1
@@ -255,8 +263,19 @@ def _tile_out(t: pa.Table, limit: float) -> Iterator[pa.RecordBatch]:
                     apart = np.bitwise_count(own[w][place[u]] ^ table[other][place[v]]).sum(axis=1)
                     # |A xor B| >= bits that differ; distance <= d needs |A xor B| <= d / (2 - d) * (|A| + |B|)
                     near = apart <= limit / (2 - limit) * (n[u] + n[v]) + 1e-6
-                    left.append(np.minimum(rep[u], rep[v])[near])
-                    right.append(np.maximum(rep[u], rep[v])[near])
+                    u, v, apart = u[near], v[near], (apart / (n[u] + n[v]))[near]
+                    if not nearest:
+                        left.append(np.minimum(rep[u], rep[v]))
+                        right.append(np.maximum(rep[u], rep[v]))
+                        continue
+                    for one, two in ((u, v), (v, u)):  # an entry is once in u and once in v at most in a step
+                        better = apart < best[one]
+                        best[one[better]], partner[one[better]] = apart[better], two[better]
+    if nearest and (partner >= 0).any():
+        one = np.flatnonzero(partner >= 0)
+        two = partner[one]
+        pair = np.unique(np.stack([np.minimum(rep[one], rep[two]), np.maximum(rep[one], rep[two])]), axis=1)
+        left, right = [pair[0]], [pair[1]]
     if left:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
@@ -284,7 +303,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     # of two holders the sizes tell at once; more are looked at by bands below
     several = (tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"))
                .where(f"c > 2 or c = 2 and {den} * lo >= {num} * hi").select("token"))
-    shared = stored(tokens.join(small(stored(several, "several"), 1_000_000), "token"), "shared")
+    several = stored(several, "several")
+    shared = stored(tokens.join(small(several, 1_000_000), "token"), "shared")
+    free(several)
     step = -math.log(num / den) * (1 + 1e-9)  # sizes exactly 1/t apart stay neighbours whatever the rounding
     banded = (shared.withColumn("level", F.floor(F.log("n") / step).cast("int"))
               .withColumn("own", F.explode(F.array(F.lit(1), F.lit(0))))
@@ -297,10 +318,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     linked = F.expr(f"{den} * both >= {num} * (na + nb - both)")
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        pairs = stored(_plausible(pairs, reps, limit), "pairs")
-        ids = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b")).distinct()
+        near = stored(_plausible(pairs, reps, limit), "pairs")
+        ids = near.select(F.col("a").alias("rep")).unionAll(near.select("b")).distinct()
         sets = stored(_sets(docs, n, ids, id_col, text_col), "sets")
-        return stored(_intersections(pairs, sets).where(linked).select("a", "b").distinct(), "links")
+        links = stored(_intersections(near, sets).where(linked).select("a", "b").distinct(), "links")
+        free(near, sets)
+        return links
 
     # one leader for each representative
     votes = held.where("rep <> lead").groupBy("rep", "lead").agg(F.count("*").alias("votes"))
@@ -310,12 +333,36 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     # n-grams that still hold several labels
     label = balls.select(F.col("a").alias("rep"), F.col("b").alias("label"))
     named = stored(held.drop("lead").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "named")
-    mixed = (named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("count"))
-             .where("x < y").select("token", "count"))
-    entries = named.join(mixed, "token").join(reps.select("rep", F.col("n").cast("long").alias("n"), F.col("coarse").alias("bits")), "rep")
-    near = links_of(stored(_tile_pairs(entries, limit), "tiles"))
-
-    settled = components(balls.unionAll(near)).withColumnRenamed("node", "rep")
+    free(shared, held)
+    links, nearest = balls, True
+    while True:
+        labels_left = named.select("label").distinct().count()
+        mixed = (named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("count"))
+                 .where("x < y").select("token", "count"))
+        # coarse signatures leave few pairs where few meet; where many do, fine ones cost less than the pairs
+        crowd = F.when(F.col("count") > FEW, F.col("fine")).otherwise(F.col("coarse"))
+        sides = reps.select("rep", F.col("n").cast("long").alias("n"), "coarse", F.col("bits").alias("fine"))
+        entries = named.join(mixed, "token").join(sides, "rep").select("token", "count", "rep", "label", "n", crowd.alias("bits"))
+        tiles = stored(_tile_pairs(entries, limit, nearest), "tiles")
+        found = links_of(tiles)
+        free(tiles)
+        links = links.unionAll(found)
+        if not nearest:
+            break
+        # labels that the links join become one; once a pass joins next to none, the last one looks at every pair
+        joins = found.count()
+        nearest = joins * REST > labels_left
+        if joins:
+            of = named.select("rep", "label").distinct()
+            ends = found.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+            joined = components(ends)
+            renamed = stored(named.join(small(joined.toDF("label", "new")), "label", "left")
+                             .select("token", "rep", F.coalesce("new", "label").alias("label")), "named")
+            free(named)
+            named = renamed
+    free(named, profiles)
+
+    settled = components(links).withColumnRenamed("node", "rep")
     return (member.join(settled, "rep", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.coalesce("component", "rep", "doc_id").alias("component_id")))

@@ -27,7 +27,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     # them before the next step adds its own
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete the files of ``stored`` tables after their last reader has been written. Later steps must not
+    depend on them: a lost executor's work is redone from the tables that remain."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:
