@@ -15,9 +15,10 @@ their distinct word n-grams, exactly and over all documents:
    label, so that large groups of near-copies need no further comparison among themselves.
 5. The entries of an n-gram that still holds several labels form tiles of bounded size, sorted by set
    size so that only a band is compared: first by coarse signatures, then by fine ones, and the
-   pairs left are intersected exactly. As long as that joins labels, an entry only offers the nearest
-   one of another label in its tile, so that a group of g near copies costs g pairs and not g * g; the
-   last pass compares all that still differ.
+   pairs left are intersected exactly. A tile lists the nearest partners of each entry first; where
+   that leaves pairs out, the n-gram is looked at again with the labels that the links have joined, so
+   that a group of g near copies costs a multiple of g pairs and not g * g. Tiles list more and more
+   partners if nothing joins, until every pair of different labels has been judged.
 
 Null and empty texts have no n-grams (size 0) and link with nothing. A text of fewer words than n
 is one n-gram. Rows that share a doc_id count as one document with several texts; rows with a null
@@ -45,8 +46,8 @@ TILE = 4096
 TILE_KEY = ["token", "i", "j"]
 #: entries of an n-gram up to which tiles compare coarse signatures
 FEW = 8
-#: passes by nearest partners go on while they join one label of so many
-REST = 1000
+#: partners of an entry that a tile lists at first
+NEAREST = 16
 #: smallest and largest signature, in bits
 MIN_BITS, MAX_BITS = 512, 1 << 17
 
@@ -200,10 +201,10 @@ def _plausible(pairs: DataFrame, reps: DataFrame, limit: float) -> DataFrame:
     return joined.mapInArrow(lean(bound), "a long, b long").distinct()
 
 
-def _tile_pairs(entries: DataFrame, limit: float, nearest: bool = False) -> DataFrame:
-    """(a, b): representatives of different labels in one tile whose sizes and coarse signatures leave
-    room for a distance of ``limit``; with ``nearest`` only each entry's nearest such partner in its tile.
-    Entries are (token, count, rep, label, n, bits), count the token's."""
+def _tile_pairs(entries: DataFrame, limit: float, most: int) -> DataFrame:
+    """(a, b): representatives of different labels in one tile whose sizes and signatures leave room for a distance
+    of ``limit``. A pair that is not among the ``most`` nearest of either side is left out; its token is then a
+    row (null, null, token). Entries are (token, count, rep, label, n, bits), count the token's."""
     e = (entries.withColumn("k", F.expr(f"cast(ceil(count / {TILE}) as int)"))
          .withColumn("part", F.expr("cast(pmod(xxhash64(rep), k) as int)"))
          .withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
@@ -217,16 +218,16 @@ def _tile_pairs(entries: DataFrame, limit: float, nearest: bool = False) -> Data
             key = np.stack([t.column(c).to_numpy() for c in TILE_KEY])
             cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
             last = int(cuts[-1]) if len(cuts) else 0
-            yield from _tile_out(t.slice(0, last), limit, nearest)
+            yield from _tile_out(t.slice(0, last), limit, most)
             held = t.slice(last)
         if held is not None:
-            yield from _tile_out(held, limit, nearest)
+            yield from _tile_out(held, limit, most)
 
     return (e.repartition(*TILE_KEY).sortWithinPartitions(*TILE_KEY, "n")
-            .mapInArrow(lean(tile), "a long, b long").distinct())
+            .mapInArrow(lean(tile), "a long, b long, token long").distinct())
 
 
-def _tile_out(t: pa.Table, limit: float, nearest: bool = False) -> Iterator[pa.RecordBatch]:
+def _tile_out(t: pa.Table, limit: float, most: int) -> Iterator[pa.RecordBatch]:
     """Pairs of whole tiles, sorted by tile and size. All entries meet their next neighbour, then the
     one after it, and so on; an entry stops at its tile's end or where sizes leave the band."""
     if t.num_rows < 2:
@@ -242,8 +243,7 @@ def _tile_out(t: pa.Table, limit: float, nearest: bool = False) -> Iterator[pa.R
         place[at] = np.arange(len(at))
         own[w] = np.stack([data[k] for k in at])
         half[w] = fold(own[w], w // 2) if w > 1 else own[w]
-    top, left, right = n / (1 - limit) + 1e-9, [], []
-    best, partner = np.full(len(n), np.inf), np.full(len(n), -1)
+    top, left, right, apart_ = n / (1 - limit) + 1e-9, [], [], []
     x, step = np.arange(len(n)), 0
     while True:
         step += 1
@@ -263,21 +263,32 @@ def _tile_out(t: pa.Table, limit: float, nearest: bool = False) -> Iterator[pa.R
                     apart = np.bitwise_count(own[w][place[u]] ^ table[other][place[v]]).sum(axis=1)
                     # |A xor B| >= bits that differ; distance <= d needs |A xor B| <= d / (2 - d) * (|A| + |B|)
                     near = apart <= limit / (2 - limit) * (n[u] + n[v]) + 1e-6
-                    u, v, apart = u[near], v[near], (apart / (n[u] + n[v]))[near]
-                    if not nearest:
-                        left.append(np.minimum(rep[u], rep[v]))
-                        right.append(np.maximum(rep[u], rep[v]))
-                        continue
-                    for one, two in ((u, v), (v, u)):  # an entry is once in u and once in v at most in a step
-                        better = apart < best[one]
-                        best[one[better]], partner[one[better]] = apart[better], two[better]
-    if nearest and (partner >= 0).any():
-        one = np.flatnonzero(partner >= 0)
-        two = partner[one]
-        pair = np.unique(np.stack([np.minimum(rep[one], rep[two]), np.maximum(rep[one], rep[two])]), axis=1)
-        left, right = [pair[0]], [pair[1]]
-    if left:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+                    left.append(u[near])
+                    right.append(v[near])
+                    apart_.append((apart / (n[u] + n[v]))[near])
+    if not left:
+        return
+    u, v, apart = np.concatenate(left), np.concatenate(right), np.concatenate(apart_)
+    keep = _among_nearest(u, v, apart, len(n), most)
+    rest = np.unique(token[u[~keep]])
+    pair = np.unique(np.stack([np.minimum(rep[u], rep[v])[keep], np.maximum(rep[u], rep[v])[keep]]), axis=1)
+    none = pa.nulls(len(rest), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.nulls(pair.shape[1], pa.int64())], names=["a", "b", "token"])
+    yield pa.RecordBatch.from_arrays([none, none, pa.array(rest)], names=["a", "b", "token"])
+
+
+def _among_nearest(u: np.ndarray, v: np.ndarray, apart: np.ndarray, size: int, most: int) -> np.ndarray:
+    """Whether each pair (u, v) is among the ``most`` nearest of u or of v."""
+    keep = np.zeros(len(u), bool)
+    if max(np.bincount(u, minlength=size).max(), np.bincount(v, minlength=size).max()) * 2 <= most:
+        return ~keep
+    one, pair = np.concatenate((u, v)), np.tile(np.arange(len(u)), 2)
+    order = np.lexsort((np.tile(apart, 2), one))
+    one, pair = one[order], pair[order]
+    first = np.flatnonzero(np.concatenate(([True], one[1:] != one[:-1])))
+    place = np.arange(len(one)) - np.repeat(first, np.diff(np.append(first, len(one))))
+    keep[pair[place < most]] = True
+    return keep
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
@@ -334,32 +345,33 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     label = balls.select(F.col("a").alias("rep"), F.col("b").alias("label"))
     named = stored(held.drop("lead").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "named")
     free(shared, held)
-    links, nearest = balls, True
+    links, most = balls, NEAREST
     while True:
-        labels_left = named.select("label").distinct().count()
         mixed = (named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("count"))
                  .where("x < y").select("token", "count"))
         # coarse signatures leave few pairs where few meet; where many do, fine ones cost less than the pairs
         crowd = F.when(F.col("count") > FEW, F.col("fine")).otherwise(F.col("coarse"))
         sides = reps.select("rep", F.col("n").cast("long").alias("n"), "coarse", F.col("bits").alias("fine"))
         entries = named.join(mixed, "token").join(sides, "rep").select("token", "count", "rep", "label", "n", crowd.alias("bits"))
-        tiles = stored(_tile_pairs(entries, limit, nearest), "tiles")
-        found = links_of(tiles)
-        free(tiles)
+        tiles = stored(_tile_pairs(entries, limit, most), "tiles")
+        found = links_of(tiles.where("token is null").select("a", "b"))
         links = links.unionAll(found)
-        if not nearest:
+        again = tiles.where("token is not null").select("token").distinct()
+        if again.limit(1).count() == 0:
+            free(tiles)
             break
-        # labels that the links join become one; once a pass joins next to none, the last one looks at every pair
-        joins = found.count()
-        nearest = joins * REST > labels_left
-        if joins:
+        # only n-grams with pairs left out go on, their labels joined by what was found
+        left = named.join(small(stored(again, "again")), "token", "left_semi")
+        if found.limit(1).count():
             of = named.select("rep", "label").distinct()
             ends = found.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-            joined = components(ends)
-            renamed = stored(named.join(small(joined.toDF("label", "new")), "label", "left")
-                             .select("token", "rep", F.coalesce("new", "label").alias("label")), "named")
-            free(named)
-            named = renamed
+            joined = stored(components(ends).toDF("label", "new"), "joined")
+            left = left.join(small(joined), "label", "left").select("token", "rep", F.coalesce("new", "label").alias("label"))
+        else:
+            most *= 4
+        left = stored(left, "named")
+        free(named, tiles)
+        named = left
     free(named, profiles)
 
     settled = components(links).withColumnRenamed("node", "rep")
