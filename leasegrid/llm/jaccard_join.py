@@ -45,7 +45,7 @@ SKETCH_BITS = 21
 TILE = 4096
 TILE_KEY = ["token", "i", "j"]
 #: entries of an n-gram up to which tiles compare coarse signatures
-FEW = 8
+FEW = 64
 #: partners of an entry that a tile lists at first
 NEAREST = 16
 #: smallest and largest signature, in bits
