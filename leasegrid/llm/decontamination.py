@@ -117,7 +117,7 @@ def word_weight(data: np.ndarray, starts: np.ndarray) -> float:
 def _read(col: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, words, first word of each text, n-grams, first n-gram of each text) for blocks of rows."""
     data, off = text_bytes(col)
-    for lo, hi in row_blocks(off, 1 << 22):
+    for lo, hi in row_blocks(off, 1 << 20):
         part, o = data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
         starts, ends, first = word_ranges(part, o)
         words = wh.hash_ranges(part, starts, ends)

@@ -52,7 +52,7 @@ NEAREST = 16
 MIN_BITS, MAX_BITS = 512, 1 << 17
 
 
-def _grams(col: pa.Array, n: int, block: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _grams(col: pa.Array, n: int, block: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(lo, hi, hashes, first) for blocks of rows."""
     data, off = text_bytes(col)
     for lo, hi in row_blocks(off, block):
