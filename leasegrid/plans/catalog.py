@@ -421,7 +421,7 @@ comps AS (
 SELECT request_id, rank, row_id, address, price, beds, baths, sqft, property_type, neighborhood, distance_mi,
        round(similarity, 6) AS similarity FROM comps""")
 def q_comps(spark, sf):
-    """Exact top-k comparable listings per request (grid rounds, no market-wide pairing)."""
+    """Exact top-k comparable listings per request (bounded box search, no market-wide pairing)."""
     return comps_result(spark, sf).withColumn("similarity", r6("similarity"))
 
 
