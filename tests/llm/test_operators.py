@@ -191,6 +191,18 @@ def test_token_counts_equal_the_library(spark):
         assert (got[k]["n_bytes"], got[k]["n_tokens"], got[k]["over_limit"]) == (len(t.encode()), len(e.ids), len(e.ids) > 1024), ascii(t[:80])
 
 
+@pytest.mark.parametrize("long", [2, 64])
+def test_settled_pairs_equal_the_library(monkeypatch, long):
+    """Runs of equal symbols, overlapping merges and long pre-tokens, with pairs settled in every text or in long ones only."""
+    monkeypatch.setattr(token_counts, "LONG", long)
+    rng, m, library = random.Random(6), token_counts.RankMerger(BPE), Tokenizer.from_file(BPE)
+    assert m.ordered
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 200))) for _ in range(500)
+             for letters in ("ab", "aaab", "=-", "!?.-=", "0123456789", "etaoinshrdlu", "theandingion", "éüñ漢字")]
+    texts += ["".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(60_000)), "=" * 50_001, "=-" * 20_000 + "=" * 999]
+    assert m.text_counts(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_counts_odd(spark):
     docs, rows = odd_docs(spark)
     got = token_counts.token_counts(docs, BPE, limit=1024).collect()
