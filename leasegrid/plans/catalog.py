@@ -489,7 +489,7 @@ SELECT row_id, city_slug, CAST(ntile(5) OVER (PARTITION BY city_slug ORDER BY ro
 FROM imputed WHERE price IS NOT NULL""")
 def q_cv_folds(spark, sf):
     """Contiguous 5-fold assignment per market (skew-safe ordinal, no per-market task)."""
-    df = processed_listings(spark, sf).filter(F.col("price").isNotNull())
+    df = processed_listings(spark, sf).filter(F.col("price").isNotNull()).select("row_id", "city_slug")
     return st.contiguous_folds(df).select("row_id", "city_slug", "fold")
 
 
@@ -501,7 +501,7 @@ SELECT row_id, city_slug, pos, CASE WHEN n < 20 THEN NULL WHEN pos < CAST(floor(
        ELSE 'validate' END AS split FROM d""")
 def q_time_split(spark, sf):
     """Train on the oldest 80 % of each market by listing date, validate on the rest."""
-    df = processed_listings(spark, sf).filter(F.col("price").isNotNull())
+    df = processed_listings(spark, sf).filter(F.col("price").isNotNull()).select("row_id", "city_slug", "listed_date")
     return st.time_split(df).select("row_id", "city_slug", "pos", "split")
 
 
