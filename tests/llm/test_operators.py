@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -427,6 +428,59 @@ def test_pii_redaction_and_odd(spark):
     assert pii.learn(empty(spark)).trees == [] and pii.find_spans(empty(spark), model).count() == 0
 
 
+def test_pii_running_values(spark):
+    rng = random.Random(8)
+    rows = [(k, [rng.randint(0, 99) for _ in range(n)]) for k, n in enumerate((0, 1, 2, 63, 64, 65, 128, 129, 1000, 5000))]
+    df = spark.createDataFrame(rows, "k int, v array<int>")
+    got = {r["k"]: r for r in df.select("k", pii.running(F.col("v"), lambda a, b: a + b).alias("sum"),
+                                        pii.running(F.col("v"), lambda a, b: F.greatest(a, b)).alias("top")).collect()}
+    for k, v in rows:
+        assert got[k]["sum"] == [0, *itertools.accumulate(v)][:len(v)] and got[k]["top"] == [0, *itertools.accumulate(v, max)][:len(v)]
+
+
+def test_pii_choice_and_redaction_equal_all_pairs(spark):
+    """Spans of random overlap: added ones are compared with all, and cut out of texts longer than a segment."""
+    rng, rows = random.Random(9), []
+    for row in range(120):
+        size = rng.choice((1, 40, 300, pii.SEGMENT, 3 * pii.SEGMENT + 5))
+        text = "".join(rng.choice("ab1 é漢😀") for _ in range(size))
+
+        def spans(most, text=text):
+            lo = sorted({rng.randrange(len(text)) for _ in range(rng.randint(0, most))})
+            return [(s, rng.randrange(4), min(len(text), s + rng.choice((1, 3, 12, 200)))) for s in lo]
+
+        rows.append((row, text, spans(90), [(*x, round(rng.uniform(0.5, 1), 1)) for x in spans(90)]))
+    one = "s:int,k:int,e:int"
+    df = spark.createDataFrame(rows, f"row int, text string, base array<struct<{one}>>, taken array<struct<{one},p:double>>")
+    added = F.when(F.size("taken") == 0, F.array().cast(f"array<struct<{one}>>")).otherwise(pii._chosen(F.col("base"), F.col("taken")))
+    got = df.withColumn("added", added).select("row", "added", pii.redacted(F.col("text"), F.concat("base", "added")).alias("clean")).collect()
+    meets = lambda a, b: a[0] < b[2] and b[0] < a[2]
+    for r in got:
+        _, text, base, taken = rows[r["row"]]
+        free = [x for x in taken if not any(meets(x, b) for b in base)]
+        want = sorted(x[:3] for x in free if not any(meets(o, x) and (-o[3], o[1], o[0]) < (-x[3], x[1], x[0]) for o in free))
+        assert [tuple(x) for x in r["added"]] == want
+        out, at = "", 0
+        for s, k, e in sorted(base + want):
+            if s >= at:
+                out += text[at:s] + f"[{pii.KINDS[k].upper()}]"
+            at = max(at, e)
+        assert r["clean"] == out + text[at:]
+
+
+def test_pii_text_of_many_spans(spark):
+    """A dump of 100,000 addresses in one text: time grows with the spans, not with their square."""
+    n = 100_000
+    parts = [f"u{k}@h{k % 7}.net 10.0.{k % 256}.{k // 256 % 256}" if k % 2 else f"u{k} (at) host (dot) net" for k in range(n)]
+    df = spark.createDataFrame([(1, "\n".join(parts))], "doc_id long, text string")
+    model = pii.Model([(1.0, 1.0)], [0.5] * 4)  # takes every proposal
+    begun = time.monotonic()
+    row = pii.with_spans(df, model).select("pii_base", "pii_added", pii.redacted(F.col("text"), F.concat("pii_base", "pii_added")).alias("clean")).first()
+    assert time.monotonic() - begun < 60
+    assert len(row["pii_base"]) == n and len(row["pii_added"]) == n // 2
+    assert row["clean"] == "\n".join("[EMAIL] [IP]" if k % 2 else "[EMAIL]" for k in range(n))
+
+
 def test_pii_query_counts_base(spark):
     got = queries.op2_candidate_boosted_pii(spark, SF).collect()
     text = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
