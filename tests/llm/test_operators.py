@@ -628,6 +628,15 @@ def plain_rule(url):
     return host, path, max(fits)[1:] if fits else None
 
 
+def expanded(mined):
+    """The rules with every choice of tokens that stand for their items."""
+    members = collections.defaultdict(list)
+    for r in mined.members.collect():
+        members[r["item"]].append(r["token"])
+    return [(tuple(sorted(c)), r["verdict"], r["confidence"], r["support"]) for r in mined.rules.collect()
+            for c in itertools.product(*(members[t] for t in r["items"]))]
+
+
 def test_url_policy_and_mined_rules(spark):
     rng = random.Random(31)
     hosts = ["a.example.com", "pills.shop.biz", "www.news.info", "EXAMPLE.net", "notexample.com", "x.org", "net"]
@@ -667,7 +676,7 @@ def test_url_rules_equal_brute_force_at_any_size(spark):
         rules = {r: x for r, x in rules.items() if x >= 0.8}
         plain = {(c, v): x for (c, v), x in rules.items() if not any(
             rules.get((g, v), 0) >= x for k in range(1, len(c)) for g in itertools.combinations(c, k))}
-        got = url_rules.mine(df)
+        got = expanded(url_rules.mine(df))
         assert {(c, v): x for c, v, x, _ in got} == pytest.approx(plain) and len(got) == len(plain)
         assert all(n == count[c, v] for c, v, _, n in got) and max(len(c) for c, _ in plain) > 1
 
@@ -676,7 +685,7 @@ def test_url_rules_of_five_tokens(spark):
     known = [("http://a.b.c/d/e", "block")] * 8
     known += [(u, "allow") for u in ("http://z.b.c/d/e", "http://a.z.c/d/e", "http://a.b.z/d/e", "http://a.b.c/z/e", "http://a.b.c/d/z") for _ in range(8)]
     known += [(f"https://www.site{k % 5}.org/x", "allow") for k in range(60)]
-    got = url_rules.mine(spark.createDataFrame(known, "url string, verdict string"))
+    got = expanded(url_rules.mine(spark.createDataFrame(known, "url string, verdict string")))
     assert (("h:a", "h:b", "h:c", "p:d", "p:e"), "block", 1.0, 8) in got
 
 
@@ -687,7 +696,9 @@ def test_url_index_equals_all_rules(spark):
     have = {r["url"]: set(r["t"]) for r in df.select("url", url_rules.tokens(F.col("url")).alias("t")).collect()}
     names = sorted(set().union(*have.values()))
     rules = [(tuple(sorted(rng.sample(names, rng.randint(1, 3)))), rng.choice(["allow", "block"]), rng.random(), rng.randint(1, 50)) for _ in range(60)]
-    got = {r["url"]: r["mined"] for r in url_rules.matched(df, rules).collect()}
+    table = spark.createDataFrame([(list(i), rng.choice(i), v, c, n) for i, v, c, n in rules], url_rules.RULE)
+    members = spark.createDataFrame([(t, t) for t in names], "token string, item string")
+    got = {r["url"]: r["mined"] for r in url_rules.matched(df, url_rules.Rules(table, members)).collect()}
     plain = {}
     for u, t in have.items():
         if fits := [(c, n, len(i), v == "allow", v) for i, v, c, n in rules if set(i) <= t]:
