@@ -9,7 +9,8 @@ their distinct word n-grams, exactly and over all documents:
    the rarest ``n - ceil(t n) + 1`` n-grams, of which two linked sets always share one.
    Documents with equal sets are one representative from here on.
 3. Linked sets lie in one band of sizes or in neighbouring ones, bands being 1/t wide. Of the prefix
-   n-grams only those stay that two representatives of neighbouring bands share.
+   n-grams only those stay that two representatives of neighbouring bands share, one of them early enough
+   in its order for the n-gram to be a linked pair's first: later ones would only find the pair again.
 4. Every representative meets one leader, the first of most of its n-grams: sizes and bit counts bound
    their overlap from above, and what is left is intersected exactly. Linked ones take the leader's
    label, so that large groups of near-copies need no further comparison among themselves.
@@ -48,6 +49,8 @@ TILE_KEY = ["token", "i", "j"]
 FEW = 64
 #: partners of an entry that a tile lists at first
 NEAREST = 16
+#: pairs that a task of tiles holds back to name each once
+HELD_PAIRS = 1 << 20
 #: smallest and largest signature, in bits
 MIN_BITS, MAX_BITS = 512, 1 << 17
 
@@ -204,13 +207,34 @@ def _plausible(pairs: DataFrame, reps: DataFrame, limit: float) -> DataFrame:
 def _tile_pairs(entries: DataFrame, limit: float, most: int) -> DataFrame:
     """(a, b): representatives of different labels in one tile whose sizes and signatures leave room for a distance
     of ``limit``. A pair that is not among the ``most`` nearest of either side is left out; its token is then a
-    row (null, null, token). Entries are (token, count, rep, label, n, bits), count the token's."""
+    row (null, null, token). Entries are (token, count, rep, label, n, room, bits), count the token's. A task
+    holds back up to HELD_PAIRS pairs, as its tiles find many of them several times."""
     e = (entries.withColumn("k", F.expr(f"cast(ceil(count / {TILE}) as int)"))
          .withColumn("part", F.expr("cast(pmod(xxhash64(rep), k) as int)"))
          .withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
-         .select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "n", "part", "rep", "label", "bits"))
+         .select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "n", "part", "rep", "label", "room", "bits"))
 
     def tile(batches):
+        pairs, size = [], 0
+        for a, b, rest in tiles(batches):
+            if len(rest):
+                none = pa.nulls(len(rest), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(rest)], names=["a", "b", "token"])
+            pairs.append(np.stack([a, b]))
+            size += len(a)
+            if size > HELD_PAIRS:
+                pairs = [np.unique(np.concatenate(pairs, axis=1), axis=1)]
+                size = pairs[0].shape[1]
+                if size > HELD_PAIRS // 2:
+                    yield found(pairs[0])
+                    pairs, size = [], 0
+        if size:
+            yield found(np.unique(np.concatenate(pairs, axis=1), axis=1))
+
+    def found(pair):
+        return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.nulls(pair.shape[1], pa.int64())], names=["a", "b", "token"])
+
+    def tiles(batches):
         held = None
         for b in batches:
             t = pa.Table.from_batches([b])
@@ -227,12 +251,12 @@ def _tile_pairs(entries: DataFrame, limit: float, most: int) -> DataFrame:
             .mapInArrow(lean(tile), "a long, b long, token long").distinct())
 
 
-def _tile_out(t: pa.Table, limit: float, most: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of whole tiles, sorted by tile and size. All entries meet their next neighbour, then the
+def _tile_out(t: pa.Table, limit: float, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, tokens with pairs left out) of whole tiles, sorted by tile and size. All entries meet their next neighbour, then the
     one after it, and so on; an entry stops at its tile's end or where sizes leave the band."""
     if t.num_rows < 2:
         return
-    token, i, j, n, part, rep, label = (t.column(c).to_numpy() for c in (*TILE_KEY, "n", "part", "rep", "label"))
+    token, i, j, n, part, rep, label, room = (t.column(c).to_numpy() for c in (*TILE_KEY, "n", "part", "rep", "label", "room"))
     group = np.concatenate(([0], np.cumsum((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
     data = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("bits").combine_chunks()]
     width = np.array([len(w) for w in data])
@@ -253,7 +277,9 @@ def _tile_out(t: pa.Table, limit: float, most: int) -> Iterator[pa.RecordBatch]:
         x, y = x[on], y[on]
         if not len(x):
             break
-        meet = (label[x] != label[y]) & ((i[x] == j[x]) | (part[x] != part[y]))
+        # a linked pair has room for its overlap after the first n-gram that both hold
+        meet = ((label[x] != label[y]) & ((i[x] == j[x]) | (part[x] != part[y]))
+                & (np.minimum(room[x], room[y]) * (2 - limit) >= (1 - limit) * (n[x] + n[y]) - 1e-6))
         a, b = x[meet], y[meet]
         for w in np.unique(width[a]):
             for other, table in ((w, own), (2 * w, half)):  # sizes of a band differ by less than two
@@ -270,11 +296,7 @@ def _tile_out(t: pa.Table, limit: float, most: int) -> Iterator[pa.RecordBatch]:
         return
     u, v, apart = np.concatenate(left), np.concatenate(right), np.concatenate(apart_)
     keep = _among_nearest(u, v, apart, len(n), most)
-    rest = np.unique(token[u[~keep]])
-    pair = np.unique(np.stack([np.minimum(rep[u], rep[v])[keep], np.maximum(rep[u], rep[v])[keep]]), axis=1)
-    none = pa.nulls(len(rest), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.nulls(pair.shape[1], pa.int64())], names=["a", "b", "token"])
-    yield pa.RecordBatch.from_arrays([none, none, pa.array(rest)], names=["a", "b", "token"])
+    yield np.minimum(rep[u], rep[v])[keep], np.maximum(rep[u], rep[v])[keep], np.unique(token[u[~keep]])
 
 
 def _among_nearest(u: np.ndarray, v: np.ndarray, apart: np.ndarray, size: int, most: int) -> np.ndarray:
@@ -310,20 +332,25 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     reps = (profiles.where("n > 0 and doc_id is not null").join(copies, "doc_id", "left_anti")
             .withColumnRenamed("doc_id", "rep"))
 
-    tokens = reps.select("rep", "n", F.explode("prefix").alias("token"))
+    # room: n-grams from this one on, which bound the overlap of two sets that share none before it. A linked pair's
+    # first shared one leaves its smaller set the room that a set of equal size needs
+    tokens = (reps.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
+              .select("rep", "n", "token", (F.col("n") - F.col("pos")).alias("room"))
+              .withColumn("early", F.expr(f"room * {num + den} >= {2 * num} * n")))
     # of two holders the sizes tell at once; more are looked at by bands below
-    several = (tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-               .where(f"c > 2 or c = 2 and {den} * lo >= {num} * hi").select("token"))
+    several = (tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("early").alias("early"))
+               .where(f"early and (c > 2 or c = 2 and {den} * lo >= {num} * hi)").select("token"))
     several = stored(several, "several")
     shared = stored(tokens.join(small(several, 1_000_000), "token"), "shared")
     free(several)
     step = -math.log(num / den) * (1 + 1e-9)  # sizes exactly 1/t apart stay neighbours whatever the rounding
     banded = (shared.withColumn("level", F.floor(F.log("n") / step).cast("int"))
               .withColumn("own", F.explode(F.array(F.lit(1), F.lit(0))))
-              .select("token", (F.col("level") + 1 - F.col("own")).alias("band"), "own", "rep"))
-    tiles = (banded.groupBy("token", "band").agg(F.min("rep").alias("lead"), F.max("rep").alias("top"), F.max("own").alias("any"))
-             .where("lead < top and any = 1").drop("top", "any"))
-    held = stored(banded.join(tiles, ["token", "band"]).groupBy("token", "rep").agg(F.min("lead").alias("lead")), "held")
+              .select("token", (F.col("level") + 1 - F.col("own")).alias("band"), "own", "rep", "room", "early"))
+    tiles = (banded.groupBy("token", "band").agg(F.min("rep").alias("lead"), F.max("rep").alias("top"), F.max("own").alias("any"),
+                                             F.max("early").alias("first"))
+             .where("lead < top and any = 1 and first").drop("top", "any", "first"))
+    held = stored(banded.join(tiles, ["token", "band"]).groupBy("token", "rep").agg(F.min("lead").alias("lead"), F.max("room").alias("room")), "held")
 
     limit = 1 - num / den
     linked = F.expr(f"{den} * both >= {num} * (na + nb - both)")
@@ -352,7 +379,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
         # coarse signatures leave few pairs where few meet; where many do, fine ones cost less than the pairs
         crowd = F.when(F.col("count") > FEW, F.col("fine")).otherwise(F.col("coarse"))
         sides = reps.select("rep", F.col("n").cast("long").alias("n"), "coarse", F.col("bits").alias("fine"))
-        entries = named.join(mixed, "token").join(sides, "rep").select("token", "count", "rep", "label", "n", crowd.alias("bits"))
+        entries = named.join(mixed, "token").join(sides, "rep").select("token", "count", "rep", "label", "n", "room", crowd.alias("bits"))
         tiles = stored(_tile_pairs(entries, limit, most), "tiles")
         found = links_of(tiles.where("token is null").select("a", "b"))
         links = links.unionAll(found)
@@ -366,7 +393,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
             of = named.select("rep", "label").distinct()
             ends = found.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
             joined = stored(components(ends).toDF("label", "new"), "joined")
-            left = left.join(small(joined), "label", "left").select("token", "rep", F.coalesce("new", "label").alias("label"))
+            left = left.join(small(joined), "label", "left").select("token", "rep", "room", F.coalesce("new", "label").alias("label"))
         else:
             most *= 4
         left = stored(left, "named")
