@@ -33,7 +33,7 @@ from .token_counts import byte_alphabet
 #: distinct words whose ids a worker keeps
 CACHE = 120_000
 #: bytes of text tokenised at a time
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 #: remainders that wait for partners
 POOL = 512
 #: separators that Arrow takes for white space and the vocabulary does not
