@@ -2,22 +2,23 @@
 
 Base spans are the leftmost non-overlapping matches of four patterns that pass their checks; they
 always stay. Broader generators propose further, overlapping spans (spelled-out addresses, other
-separators, numbers without a plus sign). Spark's gradient-boosted trees, fitted on a bounded
-sample of documents whose base matches serve as labels (passing ones 1, failing ones and bare digit
+separators, numbers without a plus sign). Spark's gradient-boosted trees, fitted on all
+documents, whose base matches serve as labels (passing ones 1, failing ones and bare digit
 runs 0), score a proposal by its format and its context; the features leave out what defines the
-labels of phones, so they carry over to other notations. Thresholds are set for each kind on
-the sample's other half, at the wanted precision. The trees run as nested SQL conditions inside the
+labels of phones, so they carry over to other notations. Trees come from one half of the texts, by a
+hash; thresholds are set for each kind on the other half, at the wanted precision. The trees run as nested SQL conditions inside the
 scan: no row is exploded, shuffled or leaves the JVM.
 
 Spans are (start, kind, end) in code points, end exclusive. Added spans that overlap a base span are
 dropped, as are those that overlap a likelier added one (ties: the earlier kind). Null and empty
-texts have no spans. Without two labels in the sample nothing is added. Whole texts are searched,
+texts have no spans. Without two labels in the first half nothing is added. Whole texts are searched,
 each from its start to its end once per pattern. Rows are independent: repeated and null ids pass
 through; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
@@ -211,14 +212,11 @@ def _tree(node) -> tuple | float:
     return split.featureIndex(), split.threshold(), _tree(node.leftChild()), _tree(node.rightChild())
 
 
-def learn(docs: DataFrame, sample_docs: int = 20_000, rounds: int = 12, depth: int = 3, precision: float = 0.95,
-          id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Trees and thresholds from the proposals of about ``sample_docs`` documents, drawn by a hash of the text."""
-    total = docs.select(id_col).count()
-    rate = min(1.0, sample_docs / max(1, total))
+def examples(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(half, k, y, features, n): the labelled proposals of all texts, a repeated text once. Equal ones are one row with
+    their number ``n``, so that the trees' passes read format kinds rather than proposals."""
     text = F.col("text")
-    drawn = (docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(rate * (1 << 30)) + (rate == 1.0))
-             .where(text.rlike("[0-9@]")).distinct()
+    drawn = (docs.select(F.col(text_col).alias("text")).where(text.rlike("[0-9@]")).distinct()
              .select(F.monotonically_increasing_id().alias("row"), base_spans(text).alias("base"), proposals(text).alias("found"),
                      F.pmod(F.xxhash64("text", F.lit(7)), F.lit(2)).alias("half")))
     drawn = stored(drawn, "pii-drawn")
@@ -228,17 +226,26 @@ def learn(docs: DataFrame, sample_docs: int = 20_000, rounds: int = 12, depth: i
         "half", *(F.col("x")[f].alias(f) for f in FEATURES), F.col("x")["k"].alias("k"),
         _label(F.col("x")["k"], F.col("x")["m"], F.coalesce("is_base", F.lit(False))).alias("y"),
     ).where("y is not null")
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(stored(rows, "pii-sample").coalesce(4))
+    return stored(rows.groupBy("half", "k", "y", *FEATURES).agg(F.count("*").cast("double").alias("n")), "pii-examples")
+
+
+def learn(docs: DataFrame, rounds: int = 12, depth: int = 3, precision: float = 0.95, text_col: str = "text") -> Model:
+    """Trees from the proposals of one half of all texts and thresholds from the other's, by a hash of the text."""
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(examples(docs, text_col))
     train = rows.where("half = 0")
     if train.select("y").distinct().count() < 2:
         return Model([], [2.0] * len(KINDS))
-    gbt = GBTClassifier(labelCol="y", maxIter=rounds, maxDepth=depth, seed=11, stepSize=0.3, featureSubsetStrategy="all").fit(train)
+    # Spark takes its split points from a sample where there are more rows than 10,000 and than maxBins squared
+    kinds = train.count()
+    bins = 32 if kinds <= 10_000 else math.isqrt(kinds) + 1
+    gbt = GBTClassifier(labelCol="y", weightCol="n", maxIter=rounds, maxDepth=depth, maxBins=bins, seed=11, stepSize=0.3,
+                        featureSubsetStrategy="all").fit(train)
     trees = [(w, _tree(t._java_obj.rootNode())) for w, t in zip(gbt.treeWeights, gbt.trees, strict=True)]
     model = Model(trees, [2.0] * len(KINDS))
     # for each kind the lowest level at which the likelier proposals of the other half reach the precision,
     # moved half way to the next lower one: what lies between is nearer to one side
-    held = rows.where("half = 1").select("k", "y", F.round(model.probability(F.struct(*FEATURES)), 3).alias("p"))
-    levels = held.groupBy("k", "p").agg(F.sum("y").alias("hits"), F.count("*").alias("n")).orderBy("k", F.desc("p")).collect()
+    held = rows.where("half = 1").select("k", "y", "n", F.round(model.probability(F.struct(*FEATURES)), 3).alias("p"))
+    levels = held.groupBy("k", "p").agg(F.sum(F.col("y") * F.col("n")).alias("hits"), F.sum("n").alias("n")).orderBy("k", F.desc("p")).collect()
     for k in range(len(KINDS)):
         hits = n = 0
         own = [r for r in levels if r["k"] == k]

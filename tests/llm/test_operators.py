@@ -403,6 +403,18 @@ def test_pii_adds_other_notations_and_keeps_base(spark):
     assert len(got[4]["base"]) == 1
 
 
+def test_pii_learns_from_every_document(spark):
+    few = pii_training(spark)
+    many = few.unionByName(spark.range(1_400, 1_000_000).select(F.col("id").alias("doc_id"), F.lit("plain words only").alias("text")))
+    a, b = pii.learn(few), pii.learn(many)
+    assert a.trees and len(a.trees) == len(b.trees) and a.thresholds == pytest.approx(b.thresholds)
+    repeated = few.unionByName(few).unionByName(many)
+    counts = {(r["k"], r["y"]): r["n"] for r in pii.examples(repeated).groupBy("k", "y").agg(F.sum("n").alias("n")).collect()}
+    base = few.select(F.explode(pii.base_spans(F.col("text"))).alias("x")).groupBy("x.k").count().collect()
+    # the base patterns' own notations are all proposed, each text once
+    assert {k: n for (k, y), n in counts.items() if y == 1} == {r["k"]: r["count"] for r in base}
+
+
 def test_pii_trees_as_sql_equal_spark_ml(spark):
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
