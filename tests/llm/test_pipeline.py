@@ -14,7 +14,7 @@ import corpus_pipeline as cp
 from leasegrid.llm import language_id, pii
 from leasegrid.llm.shared import held_out
 
-from .test_operators import Union, plain_alignment, plain_spans, shingles
+from .test_operators import Union, pii_training, plain_alignment, plain_spans, shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -95,6 +95,14 @@ def test_personal_data_is_replaced(stages):
             assert r["text"] == before[i]["text"] or re.search(r"\[(EMAIL|IP|CARD|PHONE)\]", r["text"])
 
 
+def test_personal_data_is_learned_from_all_documents(spark):
+    plain = spark.range(2_000, 2_000_000).select(F.col("id").alias("doc_id"), F.lit("plain words only").alias("text"))
+    call = spark.createDataFrame([(-1, "call me at (974) 555-3436 now")], "doc_id long, text string")
+    docs = pii_training(spark).unionByName(call).unionByName(plain).withColumn("n_chars", F.length("text").cast("long"))
+    got = cp.personal_data(spark, docs, SF).where("doc_id = -1").first()
+    assert got["text"] == "call me at [PHONE] now" and got["n_chars"] == len(got["text"])
+
+
 def test_packing_holds_all_tokens(stages):
     before, pieces = stages["pack"]
     ids = {r["doc_id"]: [*Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(r["text"] or "", add_special_tokens=False).ids, 1]
