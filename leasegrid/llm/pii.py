@@ -5,13 +5,13 @@ always stay. Broader generators propose further, overlapping spans (spelled-out
 separators, numbers without a plus sign). Spark's gradient-boosted trees, fitted on all
 documents, whose base matches serve as labels (passing ones 1, failing ones and bare digit
 runs 0), score a proposal by its format and its context; the features leave out what defines the
-labels of phones, so they carry over to other notations. Trees come from one half of the texts, by a
-hash; thresholds are set for each kind on the other half, at the wanted precision. The trees run as nested SQL conditions inside the
+labels of phones, so they carry over to other notations. Trees come from all texts; thresholds are set
+for each kind at the wanted precision, on all texts, each half scored by trees of the other. The trees run as nested SQL conditions inside the
 scan: no row is exploded, shuffled or leaves the JVM.
 
 Spans are (start, kind, end) in code points, end exclusive. Added spans that overlap a base span are
 dropped, as are those that overlap a likelier added one (ties: the earlier kind). Null and empty
-texts have no spans. Without two labels in the first half nothing is added. Whole texts are searched,
+texts have no spans. Without two labels nothing is added. Whole texts are searched,
 each from its start to its end once per pattern. Rows are independent: repeated and null ids pass
 through; other columns are not read; an empty table gives an empty result.
 """
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -230,26 +231,37 @@ def examples(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def learn(docs: DataFrame, rounds: int = 12, depth: int = 3, precision: float = 0.95, text_col: str = "text") -> Model:
-    """Trees from the proposals of one half of all texts and thresholds from the other's, by a hash of the text."""
+    """Trees from the proposals of all texts. Thresholds from all texts too, each half of them, by a hash of the text,
+    scored by trees of the other half; a half whose other half holds one label only has no say in them."""
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(examples(docs, text_col))
-    train = rows.where("half = 0")
-    if train.select("y").distinct().count() < 2:
+    labels = {(r["half"], r["y"]) for r in rows.select("half", "y").distinct().collect()}
+    if len({y for _, y in labels}) < 2:
         return Model([], [2.0] * len(KINDS))
-    # Spark takes its split points from a sample where there are more rows than 10,000 and than maxBins squared
-    kinds = train.count()
-    bins = 32 if kinds <= 10_000 else math.isqrt(kinds) + 1
-    gbt = GBTClassifier(labelCol="y", weightCol="n", maxIter=rounds, maxDepth=depth, maxBins=bins, seed=11, stepSize=0.3,
-                        featureSubsetStrategy="all").fit(train)
-    trees = [(w, _tree(t._java_obj.rootNode())) for w, t in zip(gbt.treeWeights, gbt.trees, strict=True)]
-    model = Model(trees, [2.0] * len(KINDS))
-    # for each kind the lowest level at which the likelier proposals of the other half reach the precision,
-    # moved half way to the next lower one: what lies between is nearer to one side
-    held = rows.where("half = 1").select("k", "y", "n", F.round(model.probability(F.struct(*FEATURES)), 3).alias("p"))
-    levels = held.groupBy("k", "p").agg(F.sum(F.col("y") * F.col("n")).alias("hits"), F.sum("n").alias("n")).orderBy("k", F.desc("p")).collect()
+
+    def trees(train: DataFrame) -> list:
+        # Spark takes its split points from a sample where there are more rows than 10,000 and than maxBins squared
+        kinds = train.count()
+        bins = 32 if kinds <= 10_000 else math.isqrt(kinds) + 1
+        gbt = GBTClassifier(labelCol="y", weightCol="n", maxIter=rounds, maxDepth=depth, maxBins=bins, seed=11, stepSize=0.3,
+                            featureSubsetStrategy="all").fit(train)
+        return [(w, _tree(t._java_obj.rootNode())) for w, t in zip(gbt.treeWeights, gbt.trees, strict=True)]
+
+    model = Model(trees(rows), [2.0] * len(KINDS))
+    # for each kind the lowest level at which the likelier proposals reach the precision, moved half way to the
+    # next lower one: what lies between is nearer to one side
+    scored = []
+    for half in (0, 1):
+        if {(1 - half, 0.0), (1 - half, 1.0)} <= labels:
+            other = Model(trees(rows.where(F.col("half") == 1 - half)), [])
+            scored.append(rows.where(F.col("half") == half).select("k", "y", "n", F.round(other.probability(F.struct(*FEATURES)), 3).alias("p")))
+    if not scored:
+        return model
+    levels = reduce(DataFrame.unionAll, scored).groupBy("k", "p").agg(F.sum(F.col("y") * F.col("n")).alias("hits"), F.sum("n").alias("n")) \
+        .orderBy("k", F.desc("p")).collect()
     for k in range(len(KINDS)):
         hits = n = 0
         own = [r for r in levels if r["k"] == k]
-        for r, lower in zip(own, [*(r["p"] for r in own[1:]), 0.0], strict=True):
+        for r, lower in zip(own, [*(r["p"] for r in own[1:]), 0.0][:len(own)], strict=True):
             hits, n = hits + r["hits"], n + r["n"]
             if hits >= precision * n:
                 model.thresholds[k] = max(0.5, (r["p"] + lower) / 2)

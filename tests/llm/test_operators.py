@@ -415,6 +415,16 @@ def test_pii_learns_from_every_document(spark):
     assert {k: n for (k, y), n in counts.items() if y == 1} == {r["k"]: r["count"] for r in base}
 
 
+def test_pii_learns_trees_and_thresholds_from_both_halves(spark):
+    few = pii_training(spark)
+    half = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(2))
+    cases = {"phone": few.where(half == 1), "none": few.where("doc_id % 7 = 3").where(half == 0)}  # 0: base phones only
+    model = pii.learn(cases["phone"].unionByName(cases["none"]))
+    assert model.trees and model.thresholds[pii.PHONE] <= 1.0  # trees of half 1 score the phones of half 0
+    assert model.trees == pii.learn(cases["none"].unionByName(cases["phone"])).trees
+    assert pii.learn(cases["phone"]).trees  # no text in half 0
+
+
 def test_pii_trees_as_sql_equal_spark_ml(spark):
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
