@@ -18,3 +18,14 @@ def test_entry_and_registry(spark):
     con = duck(entry_mod.SMOKE_SF)
     cols = [d[0] for d in con.execute(sql["avg_rents"]).description]
     assert sorted(cols) == sorted(df.columns)
+
+
+def test_sessions_generate_no_method_too_long_to_compile(spark):
+    from leasegrid.session import prepare_session
+
+    limit, was = "spark.sql.codegen.hugeMethodLimit", spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    for given, wanted in (("65535", "8000"), ("4000", "4000")):
+        spark.conf.set(limit, given)
+        prepare_session(spark)
+        assert spark.conf.get(limit) == wanted
+    spark.conf.set(limit, was)
